@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, quality, templates
+from . import bpe, chat, fingerprints, mixing, quality, templates, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,16 +21,30 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(chat.paired(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(_documents(spark, sf_dir))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_documents(spark, sf_dir))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_report(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.token_report(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(_documents(spark, sf_dir)).drop("lost_chars")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op5_source_mixing, op9_quality_rules)
+    f.__name__: f for f in (op1_line_dedup, op2_chat_formatting, op3_document_fingerprints, op5_source_mixing, op6_warc, op7_byte_bpe, op9_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.SQL, "op5_source_mixing": mixing.SQL}
