@@ -87,7 +87,8 @@ def _marked(docs: DataFrame, depth: int, min_docs: int, min_fixed: float, min_to
 
 def _without(docs: DataFrame, marked: DataFrame) -> DataFrame:
     d = docs.withColumn("_t_k", row_key(F.col("doc_id"), F.col("text")))
-    d = d.join(maybe_broadcast(materialize(marked.select(F.col("k").alias("_t_k"), F.col("places").alias("_t_at")), "template-marks"), 10_000), "_t_k", "left")
+    # marks grow with the documents: always a shuffle, of the same shape at every size
+    d = d.join(marked.select(F.col("k").alias("_t_k"), F.col("places").alias("_t_at")).hint("merge"), "_t_k", "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_t_at"), i))
     return d.withColumn("_t_text", F.when(F.col("_t_at").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
 
