@@ -117,7 +117,7 @@ def number_from_text(text: Column) -> Column:
     """
     t = F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)(?:DRAWING|SHEET) INDEX:?.*?(?=\n\n|\z)", ""))
     fit = lambda x: F.when(candidate_shape(x), x)
-    fixed_ = lambda x: F.regexp_replace(x, r"(\d\.)O", "${1}0")
+    fixed_ = lambda x: F.regexp_replace(x, r"(?<=\d\.)O", "0")
     same_line = [fit(fixed_(F.regexp_extract(t, rf"{label.replace(' ', r'[ \t]*')}\.?[ \t]*:{'' if label == 'SHEET' else '?'}[ \t]*{_VALUE}", 1))) for label in _LABELS]
     cut = [fit(fixed_(F.regexp_extract(t, rf"{label}\.?[ \t]*:?[ \t]*{_VALUE}", 1))) for label in (r"EET[ \t]*NO", r"(?<![A-Z])NO")]
     below = fit(fixed_(F.regexp_extract(t, rf"(?m)(?:SHEET|DWG|DRAWING)[ \t]*(?:NUMBER|NO|#)?\.?[ \t]*:?[ \t]*\n(?:[ \t]*\n){{0,2}}[ \t]*{_VALUE}[ \t]*$", 1)))

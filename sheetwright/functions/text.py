@@ -35,7 +35,7 @@ def without_index(x: Column) -> Column:
 
 def repair_zero(x: Column) -> Column:
     """The letter O after a decimal point as a zero: A1.O is A1.0."""
-    return F.regexp_replace(x, r"(\d\.)O", "${1}0")
+    return F.regexp_replace(x, r"(?<=\d\.)O", "0")
 
 
 def truncated(x: Column, most: int = fixed.TITLE_MAX) -> Column:

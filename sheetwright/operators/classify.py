@@ -17,6 +17,17 @@ from ..rules import fixed
 from ..rules.build import any_of, categories, lookup, matches_any
 
 
+def settled(d: DataFrame, *names: str) -> DataFrame:
+    """The rows with the named columns computed once, before what follows.
+
+    A one-row explode: filters and projections above refer to the columns'
+    values and don't repeat their long expressions, which would grow with
+    each step that uses them. It stays within the stage.
+    """
+    rest = [c for c in d.columns if c not in names]
+    return d.select(*rest, F.explode(F.array(F.struct(*names))).alias("_settled")).select(*rest, *[F.col(f"_settled.{n}").alias(n) for n in names])
+
+
 def matched_categories(text: Column, which: str = "title") -> Column:
     """Categories whose patterns a text matches, in order."""
     found = [F.when(text.rlike(any_of(c[which])), F.lit(name)) for name, c in categories().items() if c[which]]
@@ -40,7 +51,7 @@ def classified(sheets: DataFrame, number: str = "sheet_number", title: str = "sh
     has_number = F.coalesce(n != "", F.lit(False))
     indexed = F.when(has_number, F.nullif(F.col(index_title), F.lit(""))) if index_title else F.lit(None).cast("string")
     d = sheets.withColumn("_index", indexed).withColumn("_title", F.coalesce(F.nullif(t, F.lit("")), F.col("_index"))).withColumn("_ncs", F.when(has_number, parsed(n)))
-    d = d.withColumn("_parts", title_components(F.col("_title")))
+    d = settled(d.withColumn("_parts", title_components(F.col("_title"))), "_index", "_title", "_ncs", "_parts")
     d = d.withColumn(
         "_found",
         F.concat(
@@ -55,11 +66,12 @@ def classified(sheets: DataFrame, number: str = "sheet_number", title: str = "sh
     not_needed = F.array(F.lit(fixed.NOT_NEEDED))
     rest = _signals(F.when(by_title, not_needed).otherwise(no), "title_pattern", 0.85)
     rest = F.when(by_title, rest).otherwise(_signals(F.when(by_number, not_needed).otherwise(no), "title_pattern", 0.70))
-    d = d.withColumn("signals", F.when(F.size("_found") > 0, F.col("_found")).otherwise(rest))
-    cats = F.array_distinct(F.transform("signals", lambda s: s["category"]))
-    d = d.withColumn("_cats", cats)
+    d = d.withColumn("signals", F.when(F.size("_found") > 0, F.col("_found")).otherwise(rest)).drop("_found")
+    d = settled(d, "signals")
+    d = d.withColumn("_cats", F.array_distinct(F.transform("signals", lambda s: s["category"])))
     total = lambda c: F.aggregate(F.filter(F.col("signals"), lambda s: s["category"] == c), F.lit(0.0), lambda a, s: a + s["score"])
     d = d.withColumn("_ranked", F.sort_array(F.transform("_cats", lambda c, i: F.struct((-total(c)).alias("down"), i.alias("i"), c.alias("category")))))
+    d = settled(d, "_ranked")
     top, next_ = -F.get(F.col("_ranked"), F.lit(0))["down"], -F.get(F.col("_ranked"), F.lit(1))["down"]
     ratio = F.try_divide(next_, top)
     d = d.withColumn("categories", F.transform("_ranked", lambda x: x["category"]))
@@ -81,6 +93,7 @@ def classified(sheets: DataFrame, number: str = "sheet_number", title: str = "sh
         .when(F.col("relevance").isin("PRIMARY", "SECONDARY") & sure, "DEFINITELY_NEEDED")
         .otherwise("NEEDS_EVALUATION"),
     )
+    d = settled(d, "has_conflict", "severity", "is_combo", "confidence", "relevance", "decision")
     low = F.col("confidence") < fixed.REVIEW_THRESHOLD
     shown = F.format_string("%.2f", F.col("confidence"))
     d = d.withColumn(
@@ -122,12 +135,11 @@ def statistics(d: DataFrame) -> DataFrame:
     """
     names = F.concat(
         F.array(
-            F.struct(F.lit("decision").alias("kind"), F.col("decision").alias("name")),
-            F.struct(F.lit("relevance"), F.col("relevance")),
-            F.struct(F.lit("combo"), F.col("is_combo").cast("string")),
-            F.struct(F.lit("review"), F.col("needs_review").cast("string")),
-            F.struct(F.lit("total"), F.lit("all")),
+            *[
+                F.struct(F.lit(kind).alias("kind"), F.coalesce(x.cast("string"), F.lit("")).alias("name"))
+                for kind, x in (("decision", F.col("decision")), ("relevance", F.col("relevance")), ("combo", F.col("is_combo")), ("review", F.col("needs_review")), ("total", F.lit("all")))
+            ]
         ),
-        F.transform("categories", lambda c: F.struct(F.lit("category").alias("kind"), c.alias("name"))),
+        F.transform("categories", lambda c: F.struct(F.lit("category").alias("kind"), F.coalesce(c, F.lit("")).alias("name"))),
     )
     return d.select(F.explode(names).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))

@@ -51,7 +51,7 @@ def learn_templates(d: DataFrame) -> DataFrame:
 def candidate_ok(text: Column, t: Column) -> Column:
     """Whether a text may be a title under a template ``t``."""
     least, most = F.floor(t["typical_length_min"] * 0.5), F.floor(t["typical_length_max"] * 1.5)
-    excluded = F.exists(t["exclusion_patterns"], lambda p: text.rlike(F.concat(F.lit("(?i)"), p)))
+    excluded = F.exists(t["exclusion_patterns"], lambda p: F.rlike(text, F.concat(F.lit("(?i)"), p)))
     return (text != "") & ~excluded & F.length(text).between(least, most) & ~text.rlike(r"^\d+$") & ~text.rlike(r"(?i)^[A-Z]{1,2}[-.]?\d{1,4}(\.\d{1,2})?$")
 
 

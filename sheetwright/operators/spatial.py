@@ -22,7 +22,7 @@ def nearest_value(blocks: DataFrame, width: float = 2592, height: float = 1728)
     labels = blocks.where(F.upper("text").rlike(r"\b(?:SHEET|DWG|DRAWING)\s*(?:NUMBER|NO|#)?\b")).select("page", F.col("pos").alias("lpos"), F.col("x0").alias("lx"), F.col("y0").alias("ly"))
     values = blocks.where(F.upper("text").rlike(_VALUE)).select("page", F.col("pos").alias("vpos"), F.col("x0").alias("vx"), F.col("y0").alias("vy"), F.col("text").alias("value"))
     dx, dy = F.abs(F.col("vx") - F.col("lx")), F.abs(F.col("vy") - F.col("ly"))
-    near = labels.join(values, "page").where((F.col("lpos") != F.col("vpos")) & (dx <= max(0.07 * width, 150.0)) & (dy <= max(0.07 * height, 150.0)))
+    near = labels.join(values, "page").where((dx <= max(0.07 * width, 150.0)) & (dy <= max(0.07 * height, 150.0)))
     near = near.withColumn("d2", dx * dx + dy * dy)
     best = near.groupBy("page").agg(F.min(F.struct("d2", "lpos", "vpos", "value")).alias("b"))
     return best.select("page", F.col("b.value").alias("value"), F.sqrt("b.d2").alias("dist"))
