@@ -5,7 +5,7 @@ Depth-limited radix sort of suffixes: suffixes are ordered only through
 far go on to the next digit, so the groups that remain are exactly the
 repeated windows. Three digits are used.
 
-1. The first digit is a 16-byte anchor. Of the anchors within a window the
+1. The first digit is a 20-byte anchor. Of the anchors within a window the
    one with the least hash stands for it, so equal windows have equal
    anchors, and neighbouring windows share one. Ranges of anchor hashes are
    the buckets of the first pass, dealt out over the cluster.
@@ -14,9 +14,9 @@ repeated windows. Three digits are used.
 3. Anchors with several texts around go on to a pass over single windows,
    one document for each text.
 
-Each shard of documents sends a key once, with its least document, however
-often it occurs there, so a string that a third of all rows holds makes one
-row a shard.
+Shards are ranges of doc_id, so an earlier shard's documents are smaller, and
+keys need no doc_id. Each shard sends a key once, however often it occurs
+there, so a string that a third of all rows holds makes one key a shard.
 """
 
 from __future__ import annotations
@@ -24,17 +24,18 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key
-
-LENGTH, ANCHOR = 50, 16
-#: Bytes of text in a shard, and of keys in a bucket, about.
-SHARD_BYTES, BUCKET_BYTES = 2 << 20, 24 << 20
+LENGTH, ANCHOR = 50, 20
+#: Bytes of text in a shard, and of text for each bucket, about.
+SHARD_BYTES, BUCKET_BYTES = 1 << 20, 6 << 20
+#: Quantiles of doc_id that shards are laid out by; between two of them ids are taken to be even.
+KNOTS = 1000
 #: Windows looked at together; places take so many bits beside the hash.
-SEGMENT, PLACE_BITS = 1 << 20, 21
+SEGMENT, PLACE_BITS = 1 << 18, 21
 #: A null doc_id is the greatest.
 LAST = (1 << 63) - 1
 
@@ -156,37 +157,35 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-SENT = "bucket long, shard long, base long, keys binary, more binary, docs binary"
+SENT = "bucket long, shard long, keys binary, more binary"
 BACK = "shard long, bucket long, flags binary"
 
 
-def _rows(shard: int, hashes: np.ndarray, more: np.ndarray | None, docs: np.ndarray, buckets: int) -> pa.Table:
-    """One row for each bucket that sorted ``hashes`` reach; documents as offsets where these fit 32 bits."""
+def _rows(shard: int, hashes: np.ndarray, more: np.ndarray | None, buckets: int) -> pa.Table:
+    """One row for each bucket that sorted ``hashes`` reach."""
     bucket = _bucket(hashes, buckets)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, int)
-    out: dict[str, list] = {k: [] for k in ("bucket", "shard", "base", "keys", "more", "docs")}
-    for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
-        base = int(docs[a:b].min())
-        far = int(docs[a:b].max()) - base
-        values = (base, hashes[a:b].tobytes(), b"" if more is None else more[a:b].tobytes(), (docs[a:b] - base).astype(np.uint32 if far < 1 << 32 else np.int64).tobytes())
-        for k, v in zip(out, (int(bucket[a]), shard, *values), strict=True):
-            out[k].append(v)
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), types, strict=True)})
+    ends = np.append(cuts[1:], len(bucket))
+    return pa.table({
+        "bucket": pa.array(bucket[cuts], pa.int64()),
+        "shard": pa.array([shard] * len(cuts), pa.int64()),
+        "keys": pa.array([hashes[a:b].tobytes() for a, b in zip(cuts, ends, strict=False)], pa.binary()),
+        "more": pa.array([b"" if more is None else more[a:b].tobytes() for a, b in zip(cuts, ends, strict=False)], pa.binary()),
+    })
 
 
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, more, documents of a bucket's rows and how many each row has."""
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
-    more = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("more")]
-    docs = [np.frombuffer(x.as_py(), np.uint32 if len(x.as_py()) == 4 * len(k) else np.int64).astype(np.int64) + b.as_py() for x, k, b in zip(table.column("docs"), keys, table.column("base"), strict=True)]
-    return np.concatenate(keys), np.concatenate(more), np.concatenate(docs), np.array([len(k) for k in keys])
+    """Keys, more and shards of a bucket's rows, and how many keys each row has."""
+    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
+    more = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("more")]
+    sizes = np.array([len(k) for k in keys])
+    return np.concatenate(keys), np.concatenate(more), np.repeat(table.column("shard").to_numpy(), sizes), sizes
 
 
-def _least(group: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """The least document of each row's group; groups are numbered in order."""
+def _least(group: np.ndarray, shards: np.ndarray) -> np.ndarray:
+    """The least shard of each row's group; groups are numbered in order."""
     starts = np.flatnonzero(np.diff(group, prepend=-1))
-    return np.minimum.reduceat(docs, starts)[group]
+    return np.minimum.reduceat(shards, starts)[group]
 
 
 def _returned(table: pa.Table, flags: np.ndarray, sizes: np.ndarray) -> pa.Table:
@@ -195,10 +194,10 @@ def _returned(table: pa.Table, flags: np.ndarray, sizes: np.ndarray) -> pa.Table
 
 
 def compare_keys(table: pa.Table) -> pa.Table:
-    """Flags of the keys of a bucket: 1 if a smaller document has the key, 2 for a key's least document if its anchor has other texts around."""
-    keys, more, docs, sizes = _gathered(table)
+    """Flags of the keys of a bucket: 1 if an earlier shard has the key, 2 for a key's first shard if its anchor has other texts around."""
+    keys, more, shards, sizes = _gathered(table)
     order = np.lexsort((more, keys))
-    k, m, d = keys[order], more[order], docs[order]
+    k, m, d = keys[order], more[order], shards[order]
     anchor = np.cumsum(np.diff(k, prepend=k[:1]) != 0)
     text = np.cumsum((np.diff(k, prepend=k[:1]) != 0) | (m != np.concatenate([m[:1], m[:-1]])))
     least = _least(text, d)
@@ -209,10 +208,10 @@ def compare_keys(table: pa.Table) -> pa.Table:
 
 
 def compare_windows(table: pa.Table) -> pa.Table:
-    """Flags of the windows of a bucket: 1 if a smaller document has the window."""
-    keys, _, docs, sizes = _gathered(table)
+    """Flags of the windows of a bucket: 1 if an earlier shard has the window."""
+    keys, _, shards, sizes = _gathered(table)
     order = np.argsort(keys, kind="stable")
-    k, d = keys[order], docs[order]
+    k, d = keys[order], shards[order]
     flags = np.empty(len(order), np.uint8)
     flags[order] = _least(np.cumsum(np.diff(k, prepend=k[:1]) != 0), d) < d
     return _returned(table, flags, sizes)
@@ -228,7 +227,7 @@ def _flags(table: pa.Table, n: int) -> np.ndarray:
 
 
 def _distinct_windows(s: Shard, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(run, place, which, hashes, docs): windows of the keys with flag 2, and the distinct ones in order with their least document."""
+    """(run, place, which, hashes, docs): windows of the keys with flag 2, and the distinct ones in order with the shard's least document."""
     run, place = s.windows(np.flatnonzero(flags == 2))
     hashes = s.window_hashes(place)
     distinct, which = np.unique(hashes, return_inverse=True)
@@ -264,7 +263,8 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     greater than all others. Rows of equal doc_id don't remove from each
     other. An empty table gives an empty result.
 
-    Texts are shuffled once; the passes read that shuffle again.
+    Texts are shuffled once, in ranges of doc_id laid out by quantiles; the
+    passes read that shuffle again. All rows of one doc_id share a shard.
     """
     spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("data"))
@@ -272,16 +272,27 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     if total is None:
         return spark.createDataFrame([], OUT)
     shards, buckets = max(1, -(-total // SHARD_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    texts = d.withColumn("shard", F.pmod(row_key(F.col("doc_id"), F.col("data")), F.lit(shards))).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    n = min(KNOTS, shards)
+    knots = np.array(d.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / n for i in range(n + 1)], 0.25 / n) or [0.0])
+    at, last = np.unique(knots[::-1], return_index=True)
+    level = (len(knots) - 1 - last) * (shards / max(1, len(knots) - 1))
+
+    @F.pandas_udf("long")
+    def shard_of(doc_id: pd.Series) -> pd.Series:
+        x = doc_id.astype("float64").to_numpy()
+        found = np.minimum(np.interp(np.nan_to_num(x), at, level), shards - 1).astype(np.int64)
+        return pd.Series(np.where(np.isnan(x), shards, found))
+
+    texts = d.withColumn("shard", shard_of("doc_id")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
 
     def send_keys(table: pa.Table) -> pa.Table:
         s = Shard(table)
-        return _rows(table.column("shard")[0].as_py(), s.anchors, s.arounds, s.ids[s.first], buckets)
+        return _rows(table.column("shard")[0].as_py(), s.anchors, s.arounds, buckets)
 
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         s = Shard(left)
-        _, _, _, hashes, found = _distinct_windows(s, _flags(right, len(s.anchors)))
-        return _rows(left.column("shard")[0].as_py(), hashes, None, found, buckets)
+        hashes = _distinct_windows(s, _flags(right, len(s.anchors)))[3]
+        return _rows(left.column("shard")[0].as_py(), hashes, None, buckets)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         s = Shard(left)
