@@ -31,9 +31,11 @@ WORDS, THRESHOLD = 5, 0.8
 #: Minhash tokens of a set; chance that a pair at the threshold is met at least.
 TOKENS, RECALL = 128, 0.99999
 #: Sets on a path up to which they are compared by brute force; splits at most; sets in a block.
-SMALL, DEPTH, BLOCK = 256, 10, 256
-#: Estimates from which two sets are linked loosely, and from which a set needs no more splits.
-LOOSE, DONE = 0.5, 0.8
+SMALL, DEPTH, BLOCK = 512, 4, 256
+#: Estimates from which two sets are linked loosely, and from which a set needs no more splits. A set
+#: at 0.7 from a leader has all sets at 0.8 from itself at 0.5 or more from the leader, as distances
+#: 1 - J add up at most; the rest of the gap is for errors of the estimate (0.044 in deviation).
+LOOSE, DONE = 0.4, 0.7
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -208,22 +210,27 @@ def loose_links(reps: DataFrame) -> DataFrame:
     now = materialize(reps.select(F.explode("paths").alias("path"), "sid"), "paths")
     for depth in range(DEPTH + 1):
         counted = materialize(now.groupBy("path").agg(F.count("*").alias("n"), F.min("sid").alias("leader")).where("n > 1"), "path-counts")
-        small = now.join(counted.where(F.col("n") <= SMALL).select("path"), "path").groupBy("path").agg(F.sort_array(F.collect_set("sid")).alias("sids"))
+        if not counted.limit(1).count():
+            break
+        # sets alone on their paths need no tokens any more
+        live = materialize(now.join(counted, "path"), "live-paths")
+        sigs = materialize(sigs.join(live.select("sid").distinct(), "sid", "left_semi"), "live-tokens")
+        small = live.where(F.col("n") <= SMALL).groupBy("path").agg(F.sort_array(F.collect_set("sid")).alias("sids"))
         small = small.select("sids").where(F.size("sids") > 1).distinct().select(F.xxhash64("sids").alias("gid"), F.explode("sids").alias("sid"))
-        found.append(materialize(_small_links(small.join(sigs, "sid")).distinct(), "loose"))
-        large = counted.where(F.col("n") > SMALL)
+        found.append(materialize(_small_links(small.join(sigs, "sid")), "loose"))
+        large = live.where(F.col("n") > SMALL)
         if not large.limit(1).count():
             break
-        lead = maybe_broadcast(materialize(large.join(sigs.withColumnRenamed("sid", "leader").withColumnRenamed("sig", "lsig"), "leader").select("path", "leader", "lsig"), "leaders"), 10_000)
-        members = now.join(lead, "path").join(sigs, "sid")
-        told = materialize(_leader_links(members), "led")
+        lead = counted.where(F.col("n") > SMALL).join(sigs.withColumnRenamed("sid", "leader").withColumnRenamed("sig", "lsig"), "leader").select("path", "leader", "lsig")
+        lead = maybe_broadcast(materialize(lead, "leaders"), 10_000)
+        told = materialize(_leader_links(large.select("path", "sid").join(lead, "path").join(sigs, "sid")), "led")
         near = told if depth == DEPTH else told.where(F.col("est") >= LOOSE)
-        found.append(materialize(near.where("sid != leader").select(F.col("sid").alias("a"), F.col("leader").alias("b")).distinct(), "loose"))
+        found.append(near.where("sid != leader").select(F.col("sid").alias("a"), F.col("leader").alias("b")))
         if depth == DEPTH:
             break
         now = materialize(_split(told.where(F.col("est") < DONE).select("path", "sid").join(sigs, "sid")), "paths")
-    out = found[0]
-    for more in found[1:]:
+    out = reps.sparkSession.createDataFrame([], "a long, b long")
+    for more in found:
         out = out.unionByName(more)
     return out
 
@@ -293,7 +300,12 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     ).dropDuplicates(["tile", "sid"])
     exact = materialize(_exact(tiles), "exact")
     links = exact.groupBy("sid").agg(F.sum("links").alias("links"))
-    classes = components(exact.select(F.col("sid").alias("a"), F.col("root").alias("b")))
+    # parts of one block are whole; only those of several blocks need joining up
+    wide = part.where("blocks > 1").select("sid")
+    across = materialize(exact.join(wide, "sid", "left_semi").select(F.col("sid").alias("a"), F.col("root").alias("b")), "across")
+    classes = exact.join(wide, "sid", "left_anti").select(F.col("sid").alias("node"), "root")
+    if across.limit(1).count():
+        classes = classes.unionByName(components(across))
     named = reps.select("sid", "m", "copy_id").join(links, "sid", "left").join(classes.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
