@@ -575,10 +575,10 @@ def first_sustained(spark, sf_dir):
     return profiles.first_sustained(_profile(spark, sf_dir), 0.0, 3)
 
 
-@query("smoothed", """SELECT vec_id AS id, x, round(avg(v) OVER (PARTITION BY vec_id ORDER BY x ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 9) AS s FROM profile""", "profile")
+@query("smoothed", """SELECT vec_id AS id, x, round(avg(v) OVER (PARTITION BY vec_id ORDER BY x ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 9) + 0.0 AS s FROM profile""", "profile")
 def smoothed(spark, sf_dir):
     """O-WIN-6."""
-    return profiles.smoothed(_profile(spark, sf_dir)).select("id", "x", F.round("s", 9).alias("s"))
+    return profiles.smoothed(_profile(spark, sf_dir)).select("id", "x", (F.round("s", 9) + 0.0).alias("s"))
 
 
 @query("longest_run", """SELECT id, max(n) AS longest FROM (SELECT id, g, count(*) AS n FROM (SELECT vec_id AS id, x, x - row_number() OVER (PARTITION BY vec_id ORDER BY x) AS g FROM profile WHERE v > 0) GROUP BY ALL) GROUP BY id""", "profile")
