@@ -21,10 +21,10 @@ there, so a string that a third of all rows holds makes one key a shard.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +63,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
+def tidy(table: pa.Table) -> pa.Table:
+    """Hands memory that a group no longer needs back to the system, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass
+    return table
+
+
 class Segment:
     """Prefix hashes of a stretch of bytes; arithmetic is modulo 2**64."""
 
@@ -190,7 +200,7 @@ def _least(group: np.ndarray, shards: np.ndarray) -> np.ndarray:
 
 def _returned(table: pa.Table, flags: np.ndarray, sizes: np.ndarray) -> pa.Table:
     parts = np.split(flags, np.cumsum(sizes)[:-1])
-    return pa.table({"shard": table.column("shard").combine_chunks(), "bucket": table.column("bucket").combine_chunks(), "flags": pa.array([x.tobytes() for x in parts], pa.binary())})
+    return tidy(pa.table({"shard": table.column("shard").combine_chunks(), "bucket": table.column("bucket").combine_chunks(), "flags": pa.array([x.tobytes() for x in parts], pa.binary())}))
 
 
 def compare_keys(table: pa.Table) -> pa.Table:
@@ -277,22 +287,22 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     at, last = np.unique(knots[::-1], return_index=True)
     level = (len(knots) - 1 - last) * (shards / max(1, len(knots) - 1))
 
-    @F.pandas_udf("long")
-    def shard_of(doc_id: pd.Series) -> pd.Series:
-        x = doc_id.astype("float64").to_numpy()
-        found = np.minimum(np.interp(np.nan_to_num(x), at, level), shards - 1).astype(np.int64)
-        return pd.Series(np.where(np.isnan(x), shards, found))
-
-    texts = d.withColumn("shard", shard_of("doc_id")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "shard")
+    x, below = F.col("doc_id").cast("double"), F.lit(at.tolist())
+    i = F.size(F.filter(below, lambda k: k <= x))
+    part = lambda values, j: F.get(F.lit(values.tolist()), j)
+    here = part(level, i - 1) + (part(level, i) - part(level, i - 1)) * (x - part(at, i - 1)) / (part(at, i) - part(at, i - 1))
+    found = F.when(x.isNull(), F.lit(shards)).when(i == 0, F.lit(0)).when(i >= len(at), F.lit(shards - 1)).otherwise(F.least(F.floor(here), F.lit(shards - 1)))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = d.withColumn("shard", found.cast("long")).repartition(parts, "shard")
 
     def send_keys(table: pa.Table) -> pa.Table:
         s = Shard(table)
-        return _rows(table.column("shard")[0].as_py(), s.anchors, s.arounds, buckets)
+        return tidy(_rows(table.column("shard")[0].as_py(), s.anchors, s.arounds, buckets))
 
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         s = Shard(left)
         hashes = _distinct_windows(s, _flags(right, len(s.anchors)))[3]
-        return _rows(left.column("shard")[0].as_py(), hashes, None, buckets)
+        return tidy(_rows(left.column("shard")[0].as_py(), hashes, None, buckets))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         s = Shard(left)
@@ -306,11 +316,11 @@ def repeat_report(docs: DataFrame) -> DataFrame:
             rows.append((doc_id, b - a, int(g.sum()), int(np.count_nonzero(np.diff(g.astype(np.int8), prepend=0) == 1)), hashlib.sha256(s.data[a:b][~g].tobytes()).hexdigest()))
         names = [x.split()[0] for x in OUT.split(", ")]
         types = [pa.int64()] * 4 + [pa.string()]
-        return pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(names, types, strict=True))})
+        return tidy(pa.table({k: pa.array([r[i] for r in rows], t) for i, (k, t) in enumerate(zip(names, types, strict=True))}))
 
     keys = texts.groupBy("shard").applyInArrow(send_keys, SENT)
-    told = keys.groupBy("bucket").applyInArrow(compare_keys, BACK)
+    told = keys.repartition(parts, "bucket").groupBy("bucket").applyInArrow(compare_keys, BACK)
     windows = texts.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(send_windows, SENT)
-    back = windows.groupBy("bucket").applyInArrow(compare_windows, BACK)
+    back = windows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(compare_windows, BACK)
     both = told.withColumn("kind", F.lit(0)).unionByName(back.withColumn("kind", F.lit(1)))
     return texts.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(finish, OUT)
