@@ -624,3 +624,99 @@ def clusters(spark, sf_dir):
 def top_candidates(spark, sf_dir):
     """O-SORT-4, O-SORT-11, O-WIN-1."""
     return review.top_candidates(fixtures.sheets(spark, sf_dir), "pdf_filename", "title_confidence", "page_number").select("pdf_filename", "page_number", "title_confidence", "rank")
+
+
+# -- pages and content ---------------------------------------------------------------------------------
+
+from ..functions import pages as page_functions  # noqa: E402
+from ..operators import content  # noqa: E402
+
+
+@query("cover_sheets", """SELECT pdf_filename, page_number, o_orderkey % 5 > 2 AND (contains(upper(coalesce(sheet_title, '')), 'COVER SHEET')) AS is_cover FROM sheets""")
+def cover_sheets(spark, sf_dir):
+    """O-FLT-10."""
+    d = fixtures.sheet_text(fixtures.sheets(spark, sf_dir))
+    return d.select("pdf_filename", "page_number", page_functions.is_cover(F.col("text"), F.col("page_number")).alias("is_cover"))
+
+
+@query("page_analysis", """SELECT pdf_filename, page_number, n AS text_length, n > 0 AS has_text, n < 50 AND o_orderkey % 2 = 0 AS is_scanned, CASE WHEN n >= 50 THEN 'vector' ELSE 'ocr' END AS recommendation
+FROM (SELECT *, CAST(length(repeat(coalesce(sheet_title, ''), 1 + CAST(o_orderkey % 4 AS INTEGER))) AS INTEGER) AS n FROM sheets)""")
+def page_analysis(spark, sf_dir):
+    """O-PROJ-1, O-FLT-14."""
+    d = fixtures.sheets(spark, sf_dir)
+    side = F.when(F.pmod("o_orderkey", F.lit(2)) == 0, 1200).otherwise(900)
+    text_ = F.expr("repeat(coalesce(sheet_title, ''), cast(1 + o_orderkey % 4 as int))")
+    a = page_functions.page_analysis(text_, F.array(F.struct(side.alias("width"), side.alias("height"))))
+    return d.select("pdf_filename", "page_number", a.alias("a")).select("pdf_filename", "page_number", "a.text_length", "a.has_text", "a.is_scanned", "a.recommendation")
+
+
+@query("validate_rows", """SELECT pdf_filename, page_number, CAST((n IS NOT NULL AND NOT regexp_matches(n, '^[A-Z]'))::INT + (p IS NOT NULL AND p LIKE 'X%' AND length(p) <= 3)::INT + (n IS NOT DISTINCT FROM p AND n IS NOT NULL)::INT + (sheet_title IS NULL)::INT AS INTEGER) AS errors,
+  CAST((n IS NULL)::INT + (p IS NULL OR length(regexp_replace(p, '[^0-9]', '', 'g')) < 4)::INT AS INTEGER) AS warnings
+FROM (SELECT *, CASE WHEN o_orderkey % 6 = 0 THEN '9' || sheet_number ELSE sheet_number END AS n, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'XY1' WHEN 2 THEN '20240156' ELSE '123' END AS p FROM sheets)""")
+def validate_rows(spark, sf_dir):
+    """O-FLT-5/6/7."""
+    k = F.col("o_orderkey")
+    n = F.when(F.pmod(k, F.lit(6)) == 0, F.concat(F.lit("9"), F.col("sheet_number"))).otherwise(F.col("sheet_number"))
+    p = F.when(F.pmod(k, F.lit(4)) == 0, None).when(F.pmod(k, F.lit(4)) == 1, "XY1").when(F.pmod(k, F.lit(4)) == 2, "20240156").otherwise("123")
+    return fixtures.sheets(spark, sf_dir).select(
+        "pdf_filename", "page_number", F.size(page_functions.row_errors(n, p, F.col("sheet_title"))).alias("errors"), F.size(page_functions.row_warnings(n, p, F.lit(None).cast("string"))).alias("warnings"),
+    )
+
+
+@query("titles_from_text")
+def titles_from_text(spark, sf_dir):
+    """O-TT-4, O-TT-6, O-TT-7, O-STR-6."""
+    d = fixtures.sheet_text(fixtures.sheets(spark, sf_dir))
+    return d.select("pdf_filename", "page_number", page_functions.title_from_text(F.col("text")).alias("title"))
+
+
+@query("sample_pages", """SELECT pdf_filename, n AS pages, unnest(CASE WHEN n <= 3 THEN range(1, n + 1) ELSE list_transform(range(0, CASE WHEN n <= 10 THEN 3 WHEN n <= 30 THEN 4 WHEN n <= 100 THEN 5 ELSE 6 END),
+  lambda i: 1 + i * greatest(1, (n - 1) // CASE WHEN n <= 10 THEN 3 WHEN n <= 30 THEN 4 WHEN n <= 100 THEN 5 ELSE 6 END)) END)::INTEGER AS page FROM (SELECT pdf_filename, count(*) AS n FROM sheets GROUP BY ALL)""")
+def sample_pages(spark, sf_dir):
+    """O-SORT-7/8/9."""
+    d = fixtures.sheets(spark, sf_dir).groupBy("pdf_filename").agg(F.count("*").alias("pages"))
+    return d.select("pdf_filename", "pages", F.explode(page_functions.sample_pages(F.col("pages"))).alias("page"))
+
+
+_INDICATED = "(SELECT *, CASE o_orderkey % 6 WHEN 0 THEN 'ROOM 101 PT-1 ACT CEILING' WHEN 1 THEN 'SEE ELEV D101' WHEN 2 THEN 'WALL TYPE A' WHEN 3 THEN coalesce(sheet_title, '') WHEN 4 THEN 'RM 12 paint type' ELSE '' END AS x FROM sheets)"
+_COUNTS = ", ".join(f"CAST({_any('x', p)} AS INTEGER) AS {n}" for n, _, p in fixed.PAINTING_INDICATORS)
+
+
+@query("content_relevance", f"""SELECT x, CASE WHEN p >= 1 THEN 'PRIMARY' WHEN s >= 1 THEN 'SECONDARY' ELSE 'REFERENCE' END AS relevance,
+  round(CASE WHEN p >= 2 THEN least(0.95, 0.7 + 0.1 * p) WHEN p = 1 THEN 0.75 + 0.05 * s WHEN s >= 2 THEN 0.7 + 0.05 * s WHEN s = 1 THEN 0.6 ELSE 0.5 END::DOUBLE, 6) AS confidence, count(*) AS n,
+  CASE WHEN ceiling_grid = 1 THEN 'reflected_ceiling_plans' WHEN room_numbers = 1 AND finish_callouts = 1 THEN 'room_finish_schedules' WHEN elevation_markers = 1 THEN 'interior_elevations' WHEN room_numbers = 1 THEN 'floor_plans' WHEN door_tags = 1 THEN 'door_schedules' ELSE 'floor_plans' END AS category
+FROM (SELECT *, room_numbers + finish_callouts + ceiling_grid AS p, wall_tags + elevation_markers + door_tags AS s FROM (SELECT x, {_COUNTS} FROM {_INDICATED})) GROUP BY ALL""")
+def content_relevance(spark, sf_dir):
+    """O-AGG-18, O-AGG-19, O-CLS-9."""
+    k = F.pmod("o_orderkey", F.lit(6))
+    x = F.when(k == 0, "ROOM 101 PT-1 ACT CEILING").when(k == 1, "SEE ELEV D101").when(k == 2, "WALL TYPE A").when(k == 3, F.coalesce("sheet_title", F.lit(""))).when(k == 4, "RM 12 paint type").otherwise("")
+    found = content.indicators(F.col("x"))
+    d = fixtures.sheets(spark, sf_dir).select(x.alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    r = content.content_relevance(found)
+    return d.select("x", "n", r["relevance"].alias("relevance"), F.round(r["confidence"], 6).alias("confidence"), content.content_category(found).alias("category"))
+
+
+@query("canonical_names", """WITH v AS (SELECT pdf_filename, o_orderkey AS ord, CASE o_orderkey % 5 WHEN 0 THEN 'The Pearl' WHEN 1 THEN 'THE PEARL.' WHEN 2 THEN 'Cascade East' WHEN 3 THEN '1200 sf shell' ELSE 'The Pearl' END AS name FROM sheets),
+u AS (SELECT *, regexp_replace(upper(name), '[.,;:]+$', '') AS norm FROM v WHERE name NOT LIKE '1200%'),
+b AS (SELECT pdf_filename, norm, count(*) AS n, min(ord) AS first, arg_min(name, ord) FILTER (name = upper(name)) AS caps, arg_min(name, ord) AS other FROM u GROUP BY ALL)
+SELECT pdf_filename, arg_max(coalesce(caps, upper(other)), CAST(n AS BIGINT) * 100000000 - first) AS name FROM b GROUP BY ALL""")
+def canonical_names(spark, sf_dir):
+    """O-AGG-17, O-FLT-25, O-STR-11, O-SINK-20."""
+    k = F.pmod("o_orderkey", F.lit(5))
+    name = F.when(k == 0, "The Pearl").when(k == 1, "THE PEARL.").when(k == 2, "Cascade East").when(k == 3, "1200 sf shell").otherwise("The Pearl")
+    return content.canonical_names(fixtures.sheets(spark, sf_dir).select("pdf_filename", F.col("o_orderkey").alias("ord"), name.alias("project_name")))
+
+
+@query("method_counts", "SELECT CASE o_orderkey % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'drawing_index' WHEN 2 THEN 'spatial' ELSE 'drawing_index' END AS method, count(*) AS n FROM sheets GROUP BY ALL")
+def method_counts(spark, sf_dir):
+    """O-AGG-2, O-PROJ-5."""
+    k = F.pmod("o_orderkey", F.lit(4))
+    m = F.when(k == 1, "drawing_index").when(k == 2, "spatial").when(k == 3, "drawing_index_xref")
+    return accuracy.method_counts(fixtures.sheets(spark, sf_dir).select(m.alias("title_method")))
+
+
+@query("rate_limited", """SELECT user_id, CAST(count(*) AS BIGINT) AS calls, CAST(count(*) FILTER (c > 10) AS BIGINT) AS waits FROM (SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(ts)::BIGINT RANGE BETWEEN 60 PRECEDING AND CURRENT ROW) AS c FROM events) GROUP BY ALL""", "sheets")
+def rate_limited(spark, sf_dir):
+    """O-WIN-12."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "user_id", "ts")
+    return sinks.rate_limited(e).groupBy("user_id").agg(F.count("*").alias("calls"), F.count_if("waits").alias("waits"))

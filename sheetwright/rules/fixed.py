@@ -239,3 +239,39 @@ STANDARD_EXCLUSIONS = [
 DECISION_THRESHOLD, CONFLICT_RATIO, CONFLICT_PENALTY, COMBO_PENALTY, SCORE_SCALE = 0.85, 0.50, 0.15, 0.10, 0.25
 AMBIGUOUS_TITLES = [r"^plan$", r"^elevation$", r"^schedule$", r"^section$", r"^details?$", r"^(level|floor)\s*\d+$"]
 TRIGGER_CONFIDENCE = 0.65
+
+# -- fixed values: titles in text, indicators, project names ---------------------------
+
+TITLE_KEYWORD_ORDER = [
+    r"REFLECTED\s+CEILING\s+PLAN", r"DEMOLITION\s+FLOOR\s+PLAN", r"ENLARGED\s+FLOOR\s+PLAN", r"LIFE\s+SAFETY\s+PLAN", r"DEMOLITION\s+PLAN",
+    r"(?:FIRST|SECOND|THIRD|FOURTH|FIFTH|GROUND|BASEMENT|MAIN|UPPER|LOWER|MEZZANINE|PARTIAL)\s+FLOOR\s+PLAN", r"FLOOR\s+PLAN", r"MECHANICAL\s+PLAN",
+    r"ELECTRICAL\s+PLAN", r"PLUMBING\s+PLAN", r"CEILING\s+PLAN", r"ROOF\s+PLAN", r"SITE\s+PLAN", r"FOUNDATION\s+PLAN",
+    r"(?:NORTH|SOUTH|EAST|WEST|FRONT|REAR|SIDE|INTERIOR|EXTERIOR|BUILDING)\s+ELEVATIONS?", r"ELEVATIONS?", r"(?:BUILDING|WALL|TYPICAL|DETAIL)\s+SECTIONS?",
+    r"SECTIONS?", r"(?:WALL|DOOR|WINDOW|STAIR|MILLWORK|CABINET|CEILING|FLOOR|ROOF)\s+DETAILS?", r"DETAILS?",
+    r"(?:DOOR|WINDOW|ROOM|FINISH|HARDWARE|FIXTURE|EQUIPMENT)\s+SCHEDULES?", r"MECHANICAL\s+SCHEDULES?", r"SCHEDULES?", r"GENERAL\s+NOTES", r"SPECIFICATIONS?",
+    r"COVER\s+SHEET", r"TITLE\s+SHEET",
+]
+TITLE_TEXT_LABELS = [r"SHEET\s*TITLE[:\s]+", r"DRAWING\s*TITLE[:\s]+", r"TITLE[:\s]+"]
+TITLE_TERMINATORS = [
+    r"(?:\n|\s{2,})PROJECT\s*(?:NO|#|NUMBER)?[:\s=]", r"(?:\n|\s{2,})SHEET\s*(?:NO|#|NUMBER)?[:\s=]", r"(?:\n|\s{2,})DWG\s*(?:NO|#|NUMBER)?[:\s=]",
+    r"(?:\n|\s{2,})SCALE[:\s=]", r"(?:\n|\s{2,})DATE[:\s=]", r"(?:\n|\s{2,})(?:DRAWN|CHECKED|APPROVED|REVISED)[:\s]", r"(?:\n|\s{2,})(?:IL|ILLINOIS)\s+\d{5}",
+    r"(?:\n|\s{2,})U\.?L\.?\s+(?:PARTITION|DESIGN)", r"(?:\n|\s{2,})(?:PHONE|FAX|TEL)[:\s]", r"\n{2,}", r"$",
+]
+TITLE_PART_LABELS = [
+    r"^(?:PROJECT|SHEET|SCALE|DATE|DRAWN|CHECKED|APPROVED|REVISED)[:\s]*$", r"^(?:NO|#|NUMBER)[:\s]*$", r"^\d+[:\s]*$", r"^[A-Z]\d+\.\d+$", r"^(?:PHONE|FAX|TEL)",
+    r"^U\.?L\.?\s+", r"^IL\s+DESIGN\s+FIRM", r"^#?\d{6,}", r"^\d+-\d+-\d+$", r"^(?:NORTH|SOUTH|EAST|WEST)$",
+]
+COVER_LABELS = ["SHEET NO", "SHEET:", "SHEET NUMBER", "SHEET #", "DWG NO", "DWG:", "DRAWING NO", "DRAWING:"]
+COVER_WORDS = ["COVER SHEET", "COVERSHEET", "TITLE SHEET", "TITLE PAGE"]
+#: (name, relevance, patterns)
+PAINTING_INDICATORS = [
+    ("room_numbers", "PRIMARY", [r"\b\d{3}\b", r"\bROOM\s*\d+\b", r"\bRM\s*\d+\b"]),
+    ("finish_callouts", "PRIMARY", [r"\bPT[-\s]?\d+\b", r"\bFIN[-\s]?\d+\b", r"\bPAINT\s+TYPE\b"]),
+    ("ceiling_grid", "PRIMARY", [r"\bACT\b", r"\bGWB\b", r"\bCEILING\b", r"\b2['x]4\b"]),
+    ("wall_tags", "SECONDARY", [r"\bWALL\s+TYPE\b", r"\bWT[-\s]?\d+\b"]),
+    ("elevation_markers", "SECONDARY", [r"\bINT\.?\s*ELEV\b", r"\bSEE\s+ELEV\b"]),
+    ("door_tags", "SECONDARY", [r"\bD\d{2,3}\b", r"\bDOOR\s*\d+\b"]),
+]
+NON_PROJECT_PATTERNS = [
+    r"^B\d+-\d+\s+Build-out", r"^\d+\s+sf\s+", r"^New Tenant Improvement$", r"^\d{4,}\s+\w+\s+(Road|Street|Ave|Blvd)", r"^(N|S|E|W)\d+\w*\d+\s+",
+]

@@ -58,5 +58,5 @@ def summary_html(summary: dict[str, int], title: str = "Extraction report") -> s
 
 def rate_limited(calls: DataFrame, seconds: int = 60, most: int = 10) -> DataFrame:
     """Adds ``waits``: whether a call of (key, ts) has ``most`` calls of its key in the seconds before it."""
-    w = Window.partitionBy("key").orderBy(F.col("ts").cast("long")).rangeBetween(-seconds, 0)
+    w = Window.partitionBy("key").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
     return calls.withColumn("waits", F.count("*").over(w) > most)
