@@ -279,10 +279,10 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     d = materialize(_sets(docs, runs_for(recall)), "sets")
     reps = materialize(d.groupBy("sid").agg(F.count("*").alias("m"), F.min("doc_id").alias("copy_id"), F.min("k").alias("k"), F.first("sig").alias("sig"), F.first("paths").alias("paths"), F.first("n").alias("n")), "set-reps")
     root = materialize(components(loose_links(reps.where("n > 0"))), "loose-parts")
-    counts = root.groupBy("root").agg(F.count("*").alias("size"))
+    large = maybe_broadcast(materialize(root.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large-parts"))
     # blocks of each part; a tile is one block or two blocks of a part
-    part = root.join(counts, "root").join(reps.select(F.col("sid").alias("node"), "m", "k"), "node")
-    part = part.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    part = root.join(large, "root", "left").join(reps.select(F.col("sid").alias("node"), "m", "k"), "node")
+    part = part.withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     part = materialize(part.select("k", F.col("node").alias("sid"), "m", "root", "block", "blocks"), "loose-blocks")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), F.col("text").cast("string").alias("text")).join(maybe_broadcast(part), "k")
 
