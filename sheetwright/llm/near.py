@@ -31,7 +31,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: Minhash tokens of a set; chance that a pair at the threshold is met at least.
 TOKENS, RECALL = 128, 0.99999
 #: Sets on a path up to which they are compared by brute force; splits at most; sets in a block.
-SMALL, DEPTH, BLOCK = 512, 4, 256
+SMALL, DEPTH, BLOCK = 512, 2, 256
 #: Estimates from which two sets are linked loosely, and from which a set needs no more splits. A set
 #: at 0.7 from a leader has all sets at 0.8 from itself at 0.5 or more from the leader, as distances
 #: 1 - J add up at most; the rest of the gap is for errors of the estimate (0.044 in deviation).

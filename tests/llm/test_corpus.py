@@ -80,12 +80,13 @@ def test_depleted(spark):
 
 
 def test_templates(spark, docs, none):
-    rows = [(i, f"unique {i} words of document number{i} are here\nPosted by user{i} on day{i}\nRead more stories about city{chr(97 + i)} today please\nshort") for i in range(26)]
+    own = [" ".join(f"own{chr(97 + i)}{chr(97 + j)}" for j in range(20)) for i in range(26)]
+    rows = [(i, f"{own[i]}\nPosted by user{i} on day{i}\nRead more stories about city{chr(97 + i)} today please\nshort") for i in range(26)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in templates.template_report(d).collect()}
+    got = {r.doc_id: r for r in templates.template_report(d, min_docs=12).collect()}
     assert all("Posted by" not in r.text and "short" in r.text and r.n_lines == 4 for r in got.values())
     assert all("Read more" not in r.text for r in got.values()) and got[5].n_dropped >= 2
-    few = templates.template_report(d.where("doc_id < 10"))
+    few = templates.template_report(d.where("doc_id < 10"), min_docs=12)
     assert few.where("n_dropped > 0").count() == 0
     assert templates.template_report(docs).count() == docs.count() and templates.drop_templates(docs).columns == docs.columns
     assert templates.template_report(docs).where("doc_id = 200").first().text is None
