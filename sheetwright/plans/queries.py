@@ -57,26 +57,28 @@ _TYPES = "CASE " + " ".join(f"WHEN {_any('part', ps)} THEN {_quote(t)}" for t, p
 _CLASSIFIED = f"""patterns(ord, category, pattern) AS (VALUES {_PATTERNS}),
 relevance(category, level) AS (VALUES {_RELEVANCE}),
 ncs(discipline, kind, level) AS (VALUES {_NCS}),
-rows_ AS (
+rows_ AS MATERIALIZED (
   SELECT o_orderkey AS id, pdf_filename, page_number, sheet_number AS n, sheet_title AS t, substr(sheet_number, 1, 1) AS d,
          CASE WHEN regexp_full_match(sheet_number, '[A-Z]{{1,2}}[-.]?[0-9]{{2,4}}(\\.[0-9]{{1,2}})?') THEN CAST(regexp_extract(sheet_number, '[0-9]') AS INTEGER) END AS kind
   FROM sheets),
-pieces AS (
+pieces AS MATERIALIZED (
   SELECT id, part, {_TYPES} AS kind, k FROM (
     SELECT id, unnest(regexp_split_to_array(t, {_quote(_SEP)})) AS part, generate_subscripts(regexp_split_to_array(t, {_quote(_SEP)}), 1) AS k FROM rows_ WHERE t <> '') WHERE trim(part) <> ''),
 shape AS (
   SELECT id, count(*) >= 2 AND (count(DISTINCT kind) >= 2 OR count(*) FILTER (length(part) >= 5) >= 2) AS combo FROM pieces GROUP BY id),
-parts AS (
+parts AS MATERIALIZED (
   SELECT r.id, CASE WHEN s.combo THEN trim(p.part) ELSE r.t END AS part, p.k FROM rows_ r JOIN shape s USING (id) JOIN pieces p USING (id) WHERE s.combo OR p.k = 1),
-first_signals AS (
+hit AS MATERIALIZED (
+  SELECT DISTINCT p.part, m.ord, m.category FROM (SELECT DISTINCT part FROM parts) p JOIN patterns m ON regexp_matches(p.part, m.pattern, 'i')),
+first_signals AS MATERIALIZED (
   SELECT id, category, 0.9::DOUBLE * 1.0::DOUBLE * 0.4::DOUBLE AS score, 1000 + k * 100 + ord AS ord FROM (
-    SELECT p.id, p.k, m.ord, m.category FROM parts p JOIN patterns m ON regexp_matches(p.part, m.pattern, 'i') GROUP BY ALL)
+    SELECT p.id, p.k, h.ord, h.category FROM parts p JOIN hit h ON h.part = p.part)
   UNION ALL
   SELECT id, category, 0.7::DOUBLE * 1.0::DOUBLE * 0.25::DOUBLE, 0 FROM (
     SELECT id, CASE WHEN d IN ('A', 'I') THEN CASE kind WHEN 1 THEN 'floor_plans' WHEN 2 THEN 'elevations' WHEN 6 THEN 'room_finish_schedules' WHEN 0 THEN 'cover_sheets' END
                     WHEN d IN ('S', 'M', 'E', 'P', 'C', 'L') THEN 'properly_classified_not_needed' END AS category
     FROM rows_ WHERE kind IS NOT NULL) WHERE category IS NOT NULL),
-signals AS (
+signals AS MATERIALIZED (
   SELECT * FROM first_signals
   UNION ALL
   SELECT id, 'properly_classified_not_needed', CASE WHEN by_title THEN 0.85::DOUBLE ELSE 0.7::DOUBLE END * 1.0::DOUBLE * 0.4::DOUBLE, 0 FROM (
@@ -86,8 +88,8 @@ sums AS (SELECT id, category, list_sum(list(score ORDER BY ord)) AS score, min(o
 ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, ord) AS r FROM sums),
 tops AS (
   SELECT r.id, r.pdf_filename, r.page_number, r.d, r.kind, a.category AS top, a.score AS s1, b.score AS s2, coalesce(s.combo, false) AS is_combo,
-         (SELECT count(*) FROM signals g WHERE g.id = r.id) AS n
-  FROM rows_ r LEFT JOIN ranked a ON a.id = r.id AND a.r = 1 LEFT JOIN ranked b ON b.id = r.id AND b.r = 2 LEFT JOIN shape s ON s.id = r.id),
+         coalesce(g.n, 0) AS n
+  FROM rows_ r LEFT JOIN (SELECT id, count(*) AS n FROM signals GROUP BY id) g ON g.id = r.id LEFT JOIN ranked a ON a.id = r.id AND a.r = 1 LEFT JOIN ranked b ON b.id = r.id AND b.r = 2 LEFT JOIN shape s ON s.id = r.id),
 judged AS (
   SELECT t.*, coalesce(s2 / s1 >= 0.5, false) AS has_conflict,
          CASE WHEN d IN ('S', 'M', 'E', 'P', 'C', 'L', 'F', 'T', 'Q') THEN 'IRRELEVANT' ELSE coalesce(v.level, 'REFERENCE') END AS relevance,
