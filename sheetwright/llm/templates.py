@@ -4,9 +4,10 @@ A fixed-depth tree parses each line: first by its number of tokens, then by
 its leading tokens, tokens with digits generalised. Within a leaf, a token
 stays in the template where enough documents have it at its place, else the
 place is a variable field. Lines whose template recurs across documents are
-dropped. Copies of one document count once (see ``_parsed``).
+dropped. Exact and near copies of one document count once (see ``copies``).
 
-Leaves that few documents reach end after the first count, so only lines of
+Leaves that few distinct texts reach end after the first count, so only
+documents of the others are told apart from near copies, and only lines of
 recurring leaves are taken apart into tokens, each distinct line once.
 """
 
@@ -15,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, row_key, text_of, words_of
+from .common import materialize, maybe_broadcast, row_key, text_of, trigram_hashes, words_of
+from .copies import copy_classes, with_content, with_sketch
 
 #: Leading tokens that the tree looks at below the number of tokens.
 DEPTH = 3
@@ -36,25 +38,33 @@ def line_tokens(line: Column) -> Column:
 
 
 def _parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
-    """One row a document: k, content key, and its lines' place, leaf and hash.
-
-    The content key is the least hash of a word here, which the tokens give
-    at once: copies with a few changed words mostly share it.
-    """
+    """One row a document: k, the text's hash t, and its lines' place, leaf and hash."""
     d = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), text_of(F.col("text")).alias("text"))
     d = d.select("k", "text", F.transform(F.split("text", "\n"), line_tokens).alias("tokens"))
-    least = F.array_min(F.transform("tokens", lambda t: F.array_min(F.transform(t, lambda w: F.xxhash64(w)))))
     each = F.transform("tokens", lambda t, i: F.struct(i.alias("i"), F.size(t).alias("n"), F.xxhash64(F.size(t), F.slice(t, 1, depth)).alias("leaf"), F.xxhash64(F.size(t), t).alias("h")))
     each = F.filter(each, lambda x: x["n"] >= min_tokens)
-    return d.select("k", F.coalesce(least, F.xxhash64("text")).alias("content"), F.transform(each, lambda x: F.struct(x["i"].alias("i"), x["leaf"].alias("leaf"), x["h"].alias("h"))).alias("at"))
+    return d.select("k", F.xxhash64("text").alias("t"), F.transform(each, lambda x: F.struct(x["i"].alias("i"), x["leaf"].alias("leaf"), x["h"].alias("h"))).alias("at"))
+
+
+def _sketches(docs: DataFrame, lines: DataFrame) -> DataFrame:
+    """(t, sketch, bands) of the texts that ``lines`` come from, one document for each text."""
+    one = materialize(lines.groupBy("t").agg(F.min("k").alias("k")), "template-texts")
+    d = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), text_of(F.col("text")).alias("text"))
+    d = d.join(maybe_broadcast(one), "k").select("t", words_of(F.col("text")).alias("words"))
+    d = with_sketch(d.select("t", trigram_hashes(F.col("words")).alias("tri")), "tri")
+    return materialize(d.select("t", "sketch", "bands"), "template-sketches")
 
 
 def recurring_lines(docs: DataFrame, parsed: DataFrame, depth: int, min_docs: int, min_fixed: float) -> DataFrame:
     """Hashes of the lines whose template recurs."""
-    lines = parsed.select("k", "content", F.explode("at").alias("x")).select("k", "content", "x.i", "x.leaf", "x.h")
-    leaves = materialize(lines.groupBy("leaf").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "template-leaves")
+    lines = parsed.select("k", "t", F.explode("at").alias("x")).select("k", "t", "x.i", "x.leaf", "x.h")
+    # distinct texts are no fewer than classes of near copies
+    leaves = materialize(lines.groupBy("leaf").agg(F.count_distinct("t").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "template-leaves")
+    mine = materialize(lines.join(maybe_broadcast(leaves), "leaf"), "template-lines-of-leaves")
+    mine = with_content(mine, materialize(copy_classes(_sketches(docs, mine)), "template-copies"))
+    leaves = materialize(mine.groupBy("leaf").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "template-leaves")
     # the distinct lines of these leaves, how many documents have each, and a place of each
-    mine = lines.join(maybe_broadcast(leaves), "leaf")
+    mine = mine.join(maybe_broadcast(leaves), "leaf")
     counted = mine.groupBy("leaf", "h", "content").agg(F.min(F.struct("k", "i")).alias("at")).groupBy("leaf", "h").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     counted = materialize(counted.select("leaf", "h", "n", F.col("at.k").alias("k"), F.col("at.i").alias("i")), "template-counts")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), text_of(F.col("text")).alias("text"))
