@@ -3,8 +3,8 @@
 Base rules look at one document. The method then hashes normalised lines,
 counts the distinct documents of each host (``source``) that hold a line,
 removes lines above the limits, and rejects documents that are depleted.
-Copies of one document count once in that count (see ``content_key``), so a
-document that was copied often doesn't count as boilerplate.
+Exact and near copies of one document count once in that count (see
+``copies``), so a document that was copied often doesn't count as boilerplate.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import content_key, materialize, plain, row_key, text_of, trigram_hashes, words_of
+from .common import materialize, plain, row_key, text_of, trigram_hashes, words_of
+from .copies import copy_classes, with_content, with_sketch
 
 #: A line is removed if this many distinct documents of its host hold it ...
 MIN_DOCS = 20
@@ -72,25 +73,25 @@ def repeated_words(d: DataFrame, hashes: str, out: str) -> DataFrame:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """One row a document: key, base measures, content key, line hashes and characters a line."""
+    """One row a document: key, base measures, the text's hash t with its sketch, line hashes and characters a line."""
     d = docs.select("doc_id", F.col("source").cast("string").alias("source"), text_of(F.col("text")).alias("text"), row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("k"))
     d = d.withColumn("words", words_of(F.col("text")))
     d = d.withColumn("tri", trigram_hashes(F.col("words")))
-    d = repeated_words(d, "tri", "n_repeat_words")
+    d = with_sketch(repeated_words(d, "tri", "n_repeat_words"), "tri")
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.trim(plain(x)) != "")
     d = d.select(
         "doc_id", "source", "k",
         F.size("words").cast("long").alias("n_words"),
         F.regexp_count(F.col("text"), F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("lines"), "n_repeat_words",
-        content_key(F.col("tri"), F.col("text")).alias("content"),
+        F.xxhash64("text").alias("t"), "sketch", "bands",
         F.array_remove(F.split(compact(F.col("text")), "\n"), "").alias("norm"),
     )
     return d.select(
         "doc_id", "source", "k", "n_words",
         F.length(F.array_join("norm", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words", "content",
+        "n_repeat_words", "t", "sketch", "bands",
         F.arrays_zip(line_hashes(F.col("norm")).alias("h"), F.transform("norm", lambda x: F.length(x)).alias("n")).alias("at"),
     )
 
@@ -113,7 +114,9 @@ def frequent_lines(m: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MI
 def judged(docs: DataFrame, min_docs: int, min_share: float, max_lost: float) -> tuple[DataFrame, DataFrame]:
     """The measures with the verdict, and (k, bad): the hashes of the lines that each document loses."""
     m = materialize(measured(docs), "quality-measures")
-    often = materialize(frequent_lines(m, min_docs, min_share), "quality-lines")
+    classes = materialize(copy_classes(m.select("t", "sketch", "bands")), "quality-copies")
+    m = m.drop("sketch", "bands")
+    often = materialize(frequent_lines(with_content(m.select("t", "source", "at"), classes), min_docs, min_share), "quality-lines")
     lost = (
         m.dropDuplicates(["k"]).select("k", "source", F.explode("at").alias("x")).alias("d")
         .join(often.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.x.h") == F.col("f.h")))

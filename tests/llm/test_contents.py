@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from sheetwright.llm import templates
+from sheetwright.llm import quality, templates
 
 
 def made(n, shared, own, seed=5):
@@ -36,3 +36,10 @@ def test_near_copies_are_no_template(spark, edits):
         rows.append((i, f"{line}\n{' '.join(w)}"))
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert templates.template_report(d).where("n_dropped > 0").count() == 0
+
+
+def test_host_line_counts_depleted_documents(spark):
+    """Documents that are mostly one boilerplate line don't fold into one."""
+    line, own = made(30, 60, 10)
+    d = spark.createDataFrame([(i, f"{x}\n{line}", "h") for i, x in enumerate(own)], "doc_id long, text string, source string")
+    assert not any(r.kept for r in quality.quality_report(d).collect())
