@@ -141,10 +141,9 @@ class Shard:
             hi = np.append(p[np.flatnonzero(new)[1:] - 1], p[-1])
             at = at[new]
             around = mix(seg.spans(lo, hi + LENGTH) + (at - lo).astype(np.uint64) * _M1 + (hi - lo).astype(np.uint64) * _M2)
-            found.append([doc[new], lo + s, hi + s, hashes[at], around >> np.uint64(32)])
+            found.append([doc[new], lo + s, hi + s, hashes[at], around])
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (int, int, int, np.uint64, np.uint64)]
         self.doc, self.lo, self.hi, self.anchor, self.around = parts
-        self.around = self.around.astype(np.uint32)
 
     def windows(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(run, place) of the windows of the first document with each of ``keys``: runs of anchors, and places in the text."""
@@ -187,7 +186,7 @@ def _rows(shard: int, hashes: np.ndarray, more: np.ndarray | None, buckets: int)
 def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, more and shards of a bucket's rows, and how many keys each row has."""
     keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
-    more = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("more")]
+    more = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("more")]
     sizes = np.array([len(k) for k in keys])
     return np.concatenate(keys), np.concatenate(more), np.repeat(table.column("shard").to_numpy(), sizes), sizes
 

@@ -1,10 +1,12 @@
-"""What counts as one document where lines are counted across documents."""
+"""What counts as one document or one text across documents."""
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from sheetwright.llm import quality, templates
+from sheetwright.llm import quality, repeats, templates
 
 
 def made(n, shared, own, seed=5):
@@ -43,3 +45,20 @@ def test_host_line_counts_depleted_documents(spark):
     line, own = made(30, 60, 10)
     d = spark.createDataFrame([(i, f"{x}\n{line}", "h") for i, x in enumerate(own)], "doc_id long, text string, source string")
     assert not any(r.kept for r in quality.quality_report(d).collect())
+
+
+@pytest.mark.parametrize("bit", [0, 32])
+def test_texts_around_an_anchor_differ_by_any_bit(bit):
+    """Two surroundings of one anchor whose 64-bit hashes differ in one bit are two texts; equal ones are one."""
+    around = [np.uint64(5 << 40), np.uint64((5 << 40) ^ (1 << bit)), np.uint64(5 << 40)]
+    rows = [repeats._rows(k, np.array([77], np.uint64), np.array([a], repeats.Shard(pa.table({"doc_id": [1], "data": [b"x" * 60]})).arounds.dtype), 1) for k, a in enumerate(around)]
+    got = repeats.compare_keys(pa.concat_tables(rows))
+    assert [x.as_py()[0] for x in got.column("flags")] == [2, 2, 1]
+
+
+def test_surroundings_keep_64_bits():
+    """Hashes of many surroundings differ in their low half too."""
+    r = random.Random(2)
+    data = "".join(r.choice("abcdefgh ") for _ in range(5000)).encode()
+    found = repeats.Shard(pa.table({"doc_id": [1], "data": [data]})).arounds
+    assert found.dtype == np.uint64 and len(np.unique(found & np.uint64(0xFFFFFFFF))) > 50 and (found >> np.uint64(32)).any()
