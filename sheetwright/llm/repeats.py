@@ -7,10 +7,13 @@ repeated windows. Three digits are used.
 
 1. The first digit is a 20-byte anchor. Of the anchors within a window the
    one with the least hash stands for it, so equal windows have equal
-   anchors, and neighbouring windows share one. Ranges of anchor hashes are
-   the buckets of the first pass, dealt out over the cluster.
+   anchors, and neighbouring windows share one. Ranges of anchor hashes,
+   hashed once more as the least ones crowd together, are the buckets of the
+   first pass, dealt out over the cluster. Within a bucket 32 bits tell
+   anchors apart: two that agree by chance only send more windows to pass 3.
 2. The second digit is the whole text around an anchor that its windows
-   cover. Where it is equal, all windows are. Most repeats end here.
+   cover, by 64 bits of its hash beside the anchor's. Where it is equal, all
+   windows are. Most repeats end here.
 3. Anchors with several texts around go on to a pass over single windows,
    one document for each text.
 
@@ -21,7 +24,6 @@ there, so a string that a third of all rows holds makes one key a shard.
 
 from __future__ import annotations
 
-import ctypes
 import hashlib
 
 import numpy as np
@@ -29,9 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 LENGTH, ANCHOR = 50, 20
-#: Bytes of text in a shard, and of text for each bucket, about.
-SHARD_BYTES, BUCKET_BYTES = 1 << 20, 6 << 20
+#: Bytes of text in a shard, for each bucket, and for each partition of a shuffle, about.
+SHARD_BYTES, BUCKET_BYTES, PART_BYTES = 1 << 20, 4 << 20, 12 << 20
 #: Quantiles of doc_id that shards are laid out by; between two of them ids are taken to be even.
 KNOTS = 1000
 #: Windows looked at together; places take so many bits beside the hash.
@@ -64,12 +68,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tidy(table: pa.Table) -> pa.Table:
-    """Hands memory that a group no longer needs back to the system, as workers live on."""
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except OSError:
-        pass
+    """The table, after memory that its group no longer needs is handed back."""
+    release()
     return table
 
 
@@ -141,7 +141,7 @@ class Shard:
             hi = np.append(p[np.flatnonzero(new)[1:] - 1], p[-1])
             at = at[new]
             around = mix(seg.spans(lo, hi + LENGTH) + (at - lo).astype(np.uint64) * _M1 + (hi - lo).astype(np.uint64) * _M2)
-            found.append([doc[new], lo + s, hi + s, hashes[at], around])
+            found.append([doc[new], lo + s, hi + s, mix(hashes[at] + _GOLD), around])
         parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, t) for t in (int, int, int, np.uint64, np.uint64)]
         self.doc, self.lo, self.hi, self.anchor, self.around = parts
 
@@ -171,8 +171,10 @@ BACK = "shard long, bucket long, flags binary"
 
 
 def _rows(shard: int, hashes: np.ndarray, more: np.ndarray | None, buckets: int) -> pa.Table:
-    """One row for each bucket that sorted ``hashes`` reach."""
+    """One row for each bucket that sorted ``hashes`` reach; beside ``more``, the bucket and the low 32 bits stand for a hash."""
     bucket = _bucket(hashes, buckets)
+    if more is not None:
+        hashes = hashes.astype(np.uint32)
     cuts = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, int)
     ends = np.append(cuts[1:], len(bucket))
     return pa.table({
@@ -183,9 +185,9 @@ def _rows(shard: int, hashes: np.ndarray, more: np.ndarray | None, buckets: int)
     })
 
 
-def _gathered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _gathered(table: pa.Table, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Keys, more and shards of a bucket's rows, and how many keys each row has."""
-    keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("keys")]
+    keys = [np.frombuffer(x.as_buffer(), kind) for x in table.column("keys")]
     more = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("more")]
     sizes = np.array([len(k) for k in keys])
     return np.concatenate(keys), np.concatenate(more), np.repeat(table.column("shard").to_numpy(), sizes), sizes
@@ -204,11 +206,12 @@ def _returned(table: pa.Table, flags: np.ndarray, sizes: np.ndarray) -> pa.Table
 
 def compare_keys(table: pa.Table) -> pa.Table:
     """Flags of the keys of a bucket: 1 if an earlier shard has the key, 2 for a key's first shard if its anchor has other texts around."""
-    keys, more, shards, sizes = _gathered(table)
+    keys, more, shards, sizes = _gathered(table, np.uint32)
     order = np.lexsort((more, keys))
     k, m, d = keys[order], more[order], shards[order]
-    anchor = np.cumsum(np.diff(k, prepend=k[:1]) != 0)
-    text = np.cumsum((np.diff(k, prepend=k[:1]) != 0) | (m != np.concatenate([m[:1], m[:-1]])))
+    other = k != np.concatenate([k[:1], k[:-1]])
+    anchor = np.cumsum(other)
+    text = np.cumsum(other | (m != np.concatenate([m[:1], m[:-1]])))
     least = _least(text, d)
     several = np.bincount(anchor[np.flatnonzero(np.diff(text, prepend=-1))])[anchor] > 1
     flags = np.empty(len(order), np.uint8)
@@ -218,7 +221,7 @@ def compare_keys(table: pa.Table) -> pa.Table:
 
 def compare_windows(table: pa.Table) -> pa.Table:
     """Flags of the windows of a bucket: 1 if an earlier shard has the window."""
-    keys, _, shards, sizes = _gathered(table)
+    keys, _, shards, sizes = _gathered(table, np.uint64)
     order = np.argsort(keys, kind="stable")
     k, d = keys[order], shards[order]
     flags = np.empty(len(order), np.uint8)
@@ -269,8 +272,9 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     kept_sha256, one row for each row of ``docs``. A byte goes if a window of
     50 bytes that covers it also starts in a document with a smaller doc_id.
     A null text is empty; texts below 50 bytes keep all. A null doc_id is
-    greater than all others. Rows of equal doc_id don't remove from each
-    other. An empty table gives an empty result.
+    greater than all others. Rows of equal doc_id, repeated rows too, don't
+    remove from each other. Very long texts are taken whole, in segments.
+    Other columns are not looked at. An empty table gives an empty result.
 
     Texts are shuffled once, in ranges of doc_id laid out by quantiles; the
     passes read that shuffle again. All rows of one doc_id share a shard.
@@ -291,7 +295,8 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     part = lambda values, j: F.get(F.lit(values.tolist()), j)
     here = part(level, i - 1) + (part(level, i) - part(level, i - 1)) * (x - part(at, i - 1)) / (part(at, i) - part(at, i - 1))
     found = F.when(x.isNull(), F.lit(shards)).when(i == 0, F.lit(0)).when(i >= len(at), F.lit(shards - 1)).otherwise(F.least(F.floor(here), F.lit(shards - 1)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many partitions as the bytes ask for, so that tasks don't grow with the input
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PART_BYTES))
     texts = d.withColumn("shard", found.cast("long")).repartition(parts, "shard")
 
     def send_keys(table: pa.Table) -> pa.Table:
