@@ -1,6 +1,7 @@
 """Fingerprints, tokens, repeats: against plain versions."""
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,6 +14,38 @@ P = pytest.importorskip("public_tokenizers")
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
 
+def plain_likeness(a, b):
+    """What two texts share, by comparing the spans themselves: cut where the rule says, and openings at even steps."""
+    if a == b:
+        return 1.0
+    found = [fingerprints.cut_places(fingerprints.prefixes(t)[0]) for t in (a, b)]
+    level = max(x[0] for x in found)
+    spans = []
+    for t, (_, place, zeros) in zip((a, b), found):
+        at = [0, *(p for p, z in zip(place.tolist(), zeros.tolist()) if z >= level), len(t)]
+        spans.append(Counter(t[i:j] for i, j in zip(at, at[1:])))
+    shared = sum(len(x) * n for x, n in (spans[0] & spans[1]).items())
+    step = max(map(fingerprints.step_of, (len(a), len(b))))
+    opening = 0
+    while opening + step <= min(len(a), len(b)) and a[: opening + step] == b[: opening + step]:
+        opening += step
+    return min(1.0, 2 * max(shared, opening) / (len(a) + len(b)))
+
+
+def test_fingerprints_of_large_ids(spark):
+    """Ids that doubles can't tell apart, nulls among them, repeated rows and one chunk's heads."""
+    rows = [((1 << 60) + 3 * i + 1, f"text {i} of some words") for i in range(40)] + [(None, "no id"), (None, "no id"), (7, "seven"), (7, "seven"), (-(1 << 63), "least"), ((1 << 63) - 1, "most")]
+    for n in (1, 4):
+        got = fingerprints.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert sorted((str(r.doc_id), r.n_chars) for r in got) == sorted((str(i), len(t)) for i, t in rows)
+        plain = sorted(rows, key=lambda x: -(1 << 70) if x[0] is None else x[0], reverse=True)
+        nxt = {plain[i][0]: plain[(i + 1) % len(plain)][1] for i in range(len(plain))}
+        for r in got:
+            if r.doc_id not in (7, None):
+                t, other = dict(rows)[r.doc_id], nxt[r.doc_id]
+                assert r.edited_sha256 == hashlib.sha256((t[: len(t) - len(t) // 2] + other[: len(t) // 2]).encode()).hexdigest()
+
+
 def test_fingerprints(docs, rows):
     got = {}
     for r in fingerprints.fingerprint_report(docs).collect():
@@ -27,8 +60,12 @@ def test_fingerprints(docs, rows):
         new = t[: len(t) - half] + other[:half]
         (r,) = got[i]
         assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(new.encode()).hexdigest()), i
-        assert r.fingerprint == fingerprints.fingerprint(t)[0] and r.edited_fingerprint == fingerprints.fingerprint(new)[0]
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        assert r.fingerprint == fingerprints.fingerprint(t) and r.edited_fingerprint == fingerprints.fingerprint(new)
+        n = 0
+        while n < min(len(t), len(new)) and t[n] == new[n]:
+            n += 1
+        assert r.kept_chars == n
+        assert r.near_edited == plain_likeness(t, new) and r.near_next == plain_likeness(t, other)
     assert got[101][0].near_next == 1.0 and got[101][0].fingerprint == got[100][0].fingerprint
     assert got[112][0].near_next > 0.8 > got[30][0].near_next
 
@@ -84,6 +121,17 @@ def test_tokens(docs, rows, none, library):
     assert bpe.token_report(none, PATH, P.PATTERN).count() == 0
 
 
+def test_repeats_across_shards(docs, rows, monkeypatch):
+    """Many shards and buckets: what repeats is found by the passes over the cluster."""
+    monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 4000)
+    monkeypatch.setattr(repeats, "PART_BYTES", 20_000)
+    edge = "this passage of fifty bytes and more stands in many documents here"
+    more = rows + [(500 + i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 26] * (i % 7)}{edge}{i * 7919}", *rows[0][2:]) for i in range(40)]
+    d = docs.sparkSession.createDataFrame(more, docs.schema).repartition(5)
+    assert {tuple(r) for r in repeats.repeat_report(d).collect()} == brute_repeats(more)
+
+
 def brute_repeats(rows, length=50):
     first = {}
     data = [(i, (t or "").encode()) for i, t, *_ in rows]
