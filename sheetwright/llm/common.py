@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -19,12 +20,14 @@ BROADCAST_ROWS = 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a local folder is made and set.
+    It is ``spark.checkpoint.dir``. Where that is unset a local folder is
+    made and set, but only if the driver and its executors are one machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="sheetwright-")
         spark.sparkContext.setCheckpointDir(found)
@@ -85,12 +88,24 @@ def trigram_hashes(words: Column) -> Column:
     return F.slice(each, 1, F.greatest(F.size(words) - 2, F.lit(0)))
 
 
-def content_key(trigrams: Column, text: Column) -> Column:
-    """A key that copies of a document share, edited ones mostly too.
+def join_hot(rows: DataFrame, one: DataFrame, key: str, salts: int = 8, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``one``, which has one row a key, where a key may have any number of rows.
 
-    It is the least hash of the 3-word windows (the text's hash if there are
-    none): two texts agree with a probability equal to the likeness of their
-    window sets. Counts of distinct documents use it so that copies of one
-    document count once.
+    Each key's rows are dealt over ``salts`` groups by a hash of the whole
+    row, and its row of ``one`` goes to each of these. Both sides are plain
+    shuffles, so adaptive execution can split what is still large.
     """
-    return F.coalesce(F.array_min(trigrams), F.xxhash64(text))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+    one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.join(one, [key, "_salt"], how).drop("_salt")
+
+
+def release() -> None:
+    """Hands memory that a Python worker no longer needs back to the system, as workers live on."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:
+        pass

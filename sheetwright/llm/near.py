@@ -9,29 +9,33 @@ repeated until a pair at the threshold is met with the target recall.
 What is met is linked loosely by estimate, and connected parts of these
 links are then compared exactly, block against block, so each pair counts
 once however many runs met it. Pairs are never emitted: a block yields sums
-of links and a spanning forest.
+of links and a spanning forest. Sets are told apart by 63-bit hashes, and
+shingles by 64-bit ones.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, row_key
+from .common import join_hot, materialize, maybe_broadcast, release, row_key
 from .graphs import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: Minhash tokens of a set; chance that a pair at the threshold is met at least.
-TOKENS, RECALL = 128, 0.99999
-#: Sets on a path up to which they are compared by brute force; splits at most; sets in a block.
-SMALL, DEPTH, BLOCK = 512, 2, 256
+TOKENS, RECALL = 128, 0.999
+#: Sets on a path up to which they are compared by brute force; splits at most.
+SMALL, DEPTH = 512, 2
+#: Sets, and shingles of all of them, that blocks of a part are laid out for; shingles compared at once.
+BLOCK, BLOCK_ITEMS, SLICE_ITEMS = 1024, 400_000, 200_000
+#: Sets of an item up to which its pairs are counted one by one.
+RARE = 12
 #: Estimates from which two sets are linked loosely, and from which a set needs no more splits. A set
 #: at 0.7 from a leader has all sets at 0.8 from itself at 0.5 or more from the leader, as distances
 #: 1 - J add up at most; the rest of the gap is for errors of the estimate (0.044 in deviation).
@@ -51,20 +55,25 @@ _ODD = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * _GOLD) | np.uint64(1)
 _ADD = mix(np.arange(1001, TOKENS + 1001, dtype=np.uint64) * _GOLD)
 
 
-def runs_for(recall: float) -> int:
+def runs_for(recall: float, splits: int = DEPTH) -> int:
     """Runs after which a pair at the threshold is met with this chance.
 
-    In a run, the tokens that such a pair shares are sampled once on average,
-    so it is missed with a chance of 1/e.
+    The tokens that such a pair shares are sampled once on average, so it
+    goes down the same path with a chance of 1 - 1/e, and after each split
+    with 1 - e ** -(that so far). The worst case is taken: none of the
+    shared tokens is rare enough to meet on a small path before the last split.
     """
-    return math.ceil(-math.log(1 - recall))
+    met = 1.0
+    for _ in range(splits + 1):
+        met = 1 - math.exp(-met)
+    return math.ceil(math.log(1 - recall) / math.log(1 - met))
 
 
 class WordHashes(dict):
     """64-bit hashes of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -113,8 +122,9 @@ def sampled(path: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def alike(sig: np.ndarray) -> np.ndarray:
     """Estimated likeness of all rows of tokens with each other."""
     out = np.empty((len(sig), len(sig)), np.float32)
-    for i in range(len(sig)):
-        out[i] = (sig[i] == sig).mean(axis=1)
+    step = max(1, 4096 // max(1, len(sig)))
+    for i in range(0, len(sig), step):
+        out[i : i + step] = (sig[i : i + step, None, :] == sig[None, :, :]).mean(axis=2)
     return out
 
 
@@ -130,6 +140,56 @@ def forest(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
+def each_group(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list]]:
+    """The columns of each group of rows with one value in the first column; batches come sorted by it.
+
+    One group is held at a time, besides the batch that is read.
+    """
+    held: list[list] | None = None
+    for batch in batches:
+        key = batch.column(0).to_numpy()
+        if not len(key):
+            continue
+        columns = [c.to_pylist() for c in batch.columns]
+        cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = [c[a:b] for c in columns]
+            if held is not None and held[0][0] == part[0][0]:
+                for have, more in zip(held, part, strict=True):
+                    have.extend(more)
+                continue
+            if held is not None:
+                yield held
+            held = part
+    if held is not None:
+        yield held
+
+
+def in_groups(rows: DataFrame, found: Callable[[list[list]], tuple[np.ndarray, ...]], schema: str) -> DataFrame:
+    """What ``found`` makes of each group of rows with one value in the first column; its columns are longs."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple[np.ndarray, ...]] = []
+        n = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*made, strict=True)], names=names)
+
+        for group in each_group(batches):
+            made.append(found(group))
+            n += len(made[-1][0])
+            if n > 50_000:
+                yield out()
+                made, n = [], 0
+        if made:
+            yield out()
+        release()
+
+    key = rows.columns[0]
+    return rows.repartition(F.col(key)).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 def _sets(docs: DataFrame, runs: int) -> DataFrame:
     """(k, doc_id, sid, n, sig, paths) of each document: its set's id, size, short tokens, and its paths in all runs."""
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -152,22 +212,37 @@ def _sets(docs: DataFrame, runs: int) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))],
                 names=["k", "doc_id", "sid", "n", "sig", "paths"],
             )
+        release()
 
     return rows.mapInArrow(run, "k long, doc_id long, sid long, n long, sig binary, paths array<long>")
 
 
+def _signed(sigs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), TOKENS)
+
+
+def _loose_group(group: list[list]) -> tuple[np.ndarray, ...]:
+    sid, at = np.unique(np.array(group[1], np.int64), return_index=True)
+    sig = _signed([group[2][i] for i in at.tolist()])
+    root = forest(alike(sig) >= LOOSE)
+    mine = root != np.arange(len(root))
+    return sid[mine], sid[root[mine]]
+
+
 def _small_links(groups: DataFrame) -> DataFrame:
     """Links within groups of (gid, sid, sig): a forest of the pairs whose estimate is at least LOOSE."""
+    return in_groups(groups.select("gid", "sid", "sig"), _loose_group, "a long, b long")
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sid")
-        sig = np.frombuffer(b"".join(pdf.sig), np.uint16).reshape(len(pdf), TOKENS)
-        root = forest(alike(sig) >= LOOSE)
-        sid = pdf.sid.to_numpy()
-        mine = root != np.arange(len(root))
-        return pd.DataFrame({"a": sid[mine], "b": sid[root[mine]]})
+def tiled(rows: DataFrame, key: str, item: str) -> DataFrame:
+    """Each row of a block (``block`` of ``blocks``, both columns) once for each tile: its own block, and its with each other of ``key``.
 
-    return groups.groupBy("gid").applyInPandas(run, "a long, b long")
+    Adds ``tile`` and ``first``: 2 if the tile is one block, else 0 for the
+    rows of its lower block and 1 for those of the other.
+    """
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("tile", F.xxhash64(key, F.least("block", "other"), F.greatest("block", "other"))).withColumn(
+        "first", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1))
 
 
 def _leader_links(members: DataFrame) -> DataFrame:
@@ -176,7 +251,7 @@ def _leader_links(members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            sig, lead = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(n, TOKENS) for i in (2, 4))
+            sig, lead = (_signed(batch.column(i).to_pylist()) for i in (2, 4))
             est = (sig == lead).mean(axis=1) if n else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(est, pa.float64())], names=["path", "sid", "leader", "est"])
 
@@ -203,7 +278,8 @@ def loose_links(reps: DataFrame) -> DataFrame:
     is compared with the path's leader, its least set; as distances add up at
     most, sets near a leader need no more splits once all sets that could be
     near them are linked to it too. The rest is split again. What is still
-    together after DEPTH splits is linked to its leader whatever the estimate.
+    together after DEPTH splits is compared by brute force, block against
+    block of the path.
     """
     found: list[DataFrame] = []
     sigs = reps.select("sid", "sig")
@@ -224,54 +300,87 @@ def loose_links(reps: DataFrame) -> DataFrame:
         lead = counted.where(F.col("n") > SMALL).join(sigs.withColumnRenamed("sid", "leader").withColumnRenamed("sig", "lsig"), "leader").select("path", "leader", "lsig")
         lead = maybe_broadcast(materialize(lead, "leaders"), 10_000)
         told = materialize(_leader_links(large.select("path", "sid").join(lead, "path").join(sigs, "sid")), "led")
-        near = told if depth == DEPTH else told.where(F.col("est") >= LOOSE)
+        near = told.where(F.col("est") >= LOOSE)
         found.append(near.where("sid != leader").select(F.col("sid").alias("a"), F.col("leader").alias("b")))
-        if depth == DEPTH:
-            break
-        now = materialize(_split(told.where(F.col("est") < DONE).select("path", "sid").join(sigs, "sid")), "paths")
+        rest = told.where(F.col("est") < DONE).select("path", "sid")
+        if depth < DEPTH:
+            now = materialize(_split(rest.join(sigs, "sid")), "paths")
+            continue
+        sizes = materialize(rest.groupBy("path").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("blocks")), "rest-sizes")
+        blocks = rest.join(maybe_broadcast(sizes), "path").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(11)), F.col("blocks")).cast("int"))
+        tiles = tiled(blocks, "path", "sid").select(F.col("tile").alias("gid"), "sid")
+        found.append(materialize(_small_links(tiles.join(sigs, "sid")), "loose"))
     out = reps.sparkSession.createDataFrame([], "a long, b long")
     for more in found:
         out = out.unionByName(more)
     return out
 
 
-def _exact(parts: DataFrame) -> DataFrame:
-    """(sid, links, root) of blocks of (tile, first, sid, m, items).
+def shared_items(sets: list[np.ndarray]) -> np.ndarray:
+    """How many items each two of some sorted sets share.
 
-    ``first``: 0 for the rows of the one block, 1 for those of the other, as
-    a tile of two blocks has only the pairs across; 2 if the tile is one
-    block. links counts documents, m is how many share a set. root is the
-    least set of the tile's linked part.
+    Items are taken in ranges of their hashes, so that what is held beside
+    the sets doesn't grow with them. Items of one set only are left out,
+    those of few sets are counted pair by pair, and the others multiplied.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sid")
-        sets = [np.frombuffer(x, np.uint64) for x in pdf["items"]]
-        n = len(sets)
-        size = np.array([len(x) for x in sets], np.float64)
-        all_items, column = np.unique(np.concatenate(sets), return_inverse=True)
-        row = np.repeat(np.arange(n), size.astype(int))
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        both = np.zeros((n, n), np.float64)
-        step = 4096
-        for i in range(0, len(all_items), step):
+    n = len(sets)
+    both = np.zeros((n, n), np.float32)
+    ranges = max(1, -(-sum(map(len, sets)) // SLICE_ITEMS))
+    bounds = np.arange(1, ranges, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // ranges)
+    cuts = [[0, *np.searchsorted(s, bounds).tolist(), len(s)] for s in sets]
+    for r in range(ranges):
+        parts = [s[c[r] : c[r + 1]] for s, c in zip(sets, cuts, strict=True)]
+        items = np.concatenate(parts)
+        row = np.repeat(np.arange(n), [len(p) for p in parts])
+        order = np.argsort(items, kind="stable")
+        items, row = items[order], row[order]
+        again = np.zeros(len(items), bool)
+        again[1:] = items[1:] == items[:-1]
+        often = again.copy()
+        often[:-1] |= again[1:]
+        row, column = row[often], np.cumsum(~again[often]) - 1
+        count = np.bincount(column)
+        of = count[column] if len(column) else count
+        few = np.zeros(n * n, np.int64)
+        for c in range(2, RARE + 1):
+            mine = row[of == c].reshape(-1, c)
+            if len(mine):
+                few += np.bincount((mine[:, :, None] * n + mine[:, None, :]).ravel(), minlength=n * n)
+        both += few.reshape(n, n)
+        row = row[of > RARE]
+        column = np.cumsum(count > RARE)[column[of > RARE]] - 1
+        wide = int(column[-1]) + 1 if len(column) else 0
+        step = max(64, min(4096, 4_000_000 // n))
+        for i in range(0, wide, step):
             a, b = np.searchsorted(column, [i, i + step])
-            has = np.zeros((n, step), np.float32)
+            has = np.zeros((n, min(step, wide - i)), np.float32)
             has[row[a:b], column[a:b] - i] = 1
             both += has @ has.T
-        union = size[:, None] + size[None, :] - both
-        linked = both >= THRESHOLD * union - 1e-9
-        np.fill_diagonal(linked, False)
-        side = pdf["first"].to_numpy()
-        if (side != 2).any():
-            linked &= side[:, None] != side[None, :]
-        links = linked @ pdf["m"].to_numpy().astype(np.int64)
-        sid = pdf["sid"].to_numpy()
-        mine = links > 0
-        return pd.DataFrame({"sid": sid[mine], "links": links[mine], "root": sid[forest(linked)[mine]]})
+    return both
+
 
-    return parts.groupBy("tile").applyInPandas(run, "sid long, links long, root long")
+def _exact_group(group: list[list]) -> tuple[np.ndarray, ...]:
+    """(sid, links, root) of the rows (tile, first, sid, m, items) of a tile.
+
+    links counts documents, m is how many share a set. root is the least set
+    of the tile's linked part.
+    """
+    sid, at = np.unique(np.array(group[2], np.int64), return_index=True)
+    sets = [np.frombuffer(group[4][i], np.uint64) for i in at.tolist()]
+    if len(sets) < 2:
+        none = np.zeros(0, np.int64)
+        return none, none, none
+    size, side = np.array([len(s) for s in sets], np.float64), np.array(group[1])[at]
+    both = shared_items(sets)
+    linked = np.empty(both.shape, bool)
+    for i in range(len(sets)):
+        linked[i] = both[i] >= THRESHOLD * (size[i] + size - both[i]) - 1e-9
+    np.fill_diagonal(linked, False)
+    if (side != 2).any():
+        linked &= side[:, None] != side[None, :]
+    links = (linked @ np.array(group[3], np.float64)[at]).astype(np.int64)
+    mine = links > 0
+    return sid[mine], links[mine], sid[forest(linked)[mine]]
 
 
 def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -279,10 +388,11 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     d = materialize(_sets(docs, runs_for(recall)), "sets")
     reps = materialize(d.groupBy("sid").agg(F.count("*").alias("m"), F.min("doc_id").alias("copy_id"), F.min("k").alias("k"), F.first("sig").alias("sig"), F.first("paths").alias("paths"), F.first("n").alias("n")), "set-reps")
     root = materialize(components(loose_links(reps.where("n > 0"))), "loose-parts")
-    large = maybe_broadcast(materialize(root.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK), "large-parts"))
-    # blocks of each part; a tile is one block or two blocks of a part
-    part = root.join(large, "root", "left").join(reps.select(F.col("sid").alias("node"), "m", "k"), "node")
-    part = part.withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
+    # blocks of each part, by the number of its sets and by their sizes; a tile is one block or two blocks of a part
+    part = root.join(reps.select(F.col("sid").alias("node"), "m", "k", "n"), "node")
+    laid = part.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("blocks")).where("blocks > 1")
+    part = part.join(maybe_broadcast(materialize(laid, "large-parts")), "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    part = part.withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     part = materialize(part.select("k", F.col("node").alias("sid"), "m", "root", "block", "blocks"), "loose-blocks")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), F.col("text").cast("string").alias("text")).join(maybe_broadcast(part), "k")
 
@@ -290,15 +400,11 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         for batch in batches:
             made = pa.array([shingles(x.as_py()).tobytes() for x in batch.column(0)], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], names=["sid", "m", "root", "block", "blocks", "items"])
+        release()
 
     rows = texts.select("text", "sid", "m", "root", "block", "blocks").mapInArrow(items, "sid long, m long, root long, block int, blocks int, items binary")
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = rows.select(
-        F.xxhash64("root", F.least("block", "other"), F.greatest("block", "other")).alias("tile"),
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("first"),
-        "sid", "m", "items",
-    ).dropDuplicates(["tile", "sid"])
-    exact = materialize(_exact(tiles), "exact")
+    tiles = tiled(rows, "root", "sid").select("tile", F.col("first").cast("long").alias("first"), "sid", "m", "items")
+    exact = materialize(in_groups(tiles, _exact_group, "sid long, links long, root long"), "exact")
     links = exact.groupBy("sid").agg(F.sum("links").alias("links"))
     # parts of one block are whole; only those of several blocks need joining up
     wide = part.where("blocks > 1").select("sid")
@@ -309,8 +415,8 @@ def near_classes(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     named = reps.select("sid", "m", "copy_id").join(links, "sid", "left").join(classes.withColumnRenamed("node", "sid"), "sid", "left")
     named = named.withColumn("root", F.coalesce("root", "sid"))
     least = named.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    named = named.join(least, "root").select("sid", "root", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
-    return d.select("k", "doc_id", "sid").join(named, "sid").select("k", "doc_id", "root", "class_id", "copy_id", "n_links")
+    named = join_hot(named, least, "root").select("sid", "root", "copy_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"))
+    return join_hot(d.select("k", "doc_id", "sid"), named, "sid").select("k", "doc_id", "root", "class_id", "copy_id", "n_links")
 
 
 def near_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
@@ -320,9 +426,11 @@ def near_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     doc_id of all documents connected by links), copy_id (the least doc_id
     with the same set of shingles) and n_links (other rows whose sets are
     alike at 0.8 or more, equal ones included). Texts without words, null
-    ones too, have equal (empty) sets. Repeated rows link each other. Null
-    doc_ids count as rows, and name a class only if nothing else is in it.
-    An empty table gives an empty result.
+    ones too, have equal (empty) sets; a text of fewer than five words is one
+    shingle. Repeated rows link each other. Null doc_ids count as rows, and
+    name a class only if nothing else is in it. Very long texts are taken
+    whole; other columns are not looked at. An empty table gives an empty
+    result.
     """
     return near_classes(docs, recall).select("doc_id", "class_id", "copy_id", "n_links")
 
@@ -330,14 +438,16 @@ def near_join(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 def near_filter(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """One document of each class, all columns: that of the least doc_id (null last).
 
-    Of documents that share this doc_id, one stays. Documents that go are
-    joined to the table by a key of their content; texts are shuffled only
-    where rows are repeated outright.
+    Of documents that share this doc_id, one stays; of all texts without
+    words, null ones too, one stays. Documents that go are joined to the
+    table by a key of their content; texts are shuffled only where rows are
+    repeated outright. Columns of other names stay as they are. An empty
+    table gives an empty result.
     """
     classes = materialize(near_classes(docs, recall), "near-classes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k"))
     kept = classes.groupBy("root").agg(first.alias("f")).select("root", F.col("f.k").alias("kept"))
-    gone = materialize(classes.join(kept, "root").where("k != kept").select(F.col("k").alias("_n_k")).distinct(), "near-gone")
+    gone = materialize(join_hot(classes, kept, "root").where("k != kept").select(F.col("k").alias("_n_k")).distinct(), "near-gone")
     often = materialize(classes.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select(F.col("k").alias("_n_k")), "near-repeated")
     out = docs.withColumn("_n_k", row_key(F.col("doc_id"), F.col("text"))).join(maybe_broadcast(gone), "_n_k", "left_anti")
     often = maybe_broadcast(often)

@@ -3,8 +3,8 @@
 Base rules look at one document. The method then hashes normalised lines,
 counts the distinct documents of each host (``source``) that hold a line,
 removes lines above the limits, and rejects documents that are depleted.
-Exact and near copies of one document count once in that count (see
-``copies``), so a document that was copied often doesn't count as boilerplate.
+Documents of one whole text (exact copies) count once in that count; texts
+that differ anywhere are documents of their own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, plain, row_key, text_of, trigram_hashes, words_of
-from .copies import copy_classes, with_content, with_sketch
 
 #: A line is removed if this many distinct documents of its host hold it ...
 MIN_DOCS = 20
@@ -73,35 +72,35 @@ def repeated_words(d: DataFrame, hashes: str, out: str) -> DataFrame:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """One row a document: key, base measures, the text's hash t with its sketch, line hashes and characters a line."""
+    """One row a document: key, base measures, the text's hash t, line hashes and characters a line."""
     d = docs.select("doc_id", F.col("source").cast("string").alias("source"), text_of(F.col("text")).alias("text"), row_key(F.col("doc_id"), F.col("source"), F.col("text")).alias("k"))
     d = d.withColumn("words", words_of(F.col("text")))
     d = d.withColumn("tri", trigram_hashes(F.col("words")))
-    d = with_sketch(repeated_words(d, "tri", "n_repeat_words"), "tri")
+    d = repeated_words(d, "tri", "n_repeat_words")
     lines = F.filter(F.split(F.col("text"), "\n"), lambda x: F.trim(plain(x)) != "")
     d = d.select(
         "doc_id", "source", "k",
         F.size("words").cast("long").alias("n_words"),
         F.regexp_count(F.col("text"), F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("lines"), "n_repeat_words",
-        F.xxhash64("text").alias("t"), "sketch", "bands",
+        F.xxhash64("text").alias("t"),
         F.array_remove(F.split(compact(F.col("text")), "\n"), "").alias("norm"),
     )
     return d.select(
         "doc_id", "source", "k", "n_words",
         F.length(F.array_join("norm", "")).cast("long").alias("word_chars"), "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words", "t", "sketch", "bands",
+        "n_repeat_words", "t",
         F.arrays_zip(line_hashes(F.col("norm")).alias("h"), F.transform("norm", lambda x: F.length(x)).alias("n")).alias("at"),
     )
 
 
 def frequent_lines(m: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(source, h) of the lines above the limits; counts combine before they are shuffled."""
-    hosts = m.groupBy("source").agg(F.count_distinct("content").alias("docs"))
+    hosts = m.groupBy("source").agg(F.count_distinct("t").alias("docs"))
     lines = (
-        m.select("source", "content", F.explode(F.array_distinct(F.transform("at", lambda x: x["h"]))).alias("h"))
-        .groupBy("source", "h").agg(F.count_distinct("content").alias("n"))
+        m.select("source", "t", F.explode(F.array_distinct(F.transform("at", lambda x: x["h"]))).alias("h"))
+        .groupBy("source", "h").agg(F.count_distinct("t").alias("n"))
         .where(F.col("n") >= min_docs)
     )
     return (
@@ -114,9 +113,7 @@ def frequent_lines(m: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MI
 def judged(docs: DataFrame, min_docs: int, min_share: float, max_lost: float) -> tuple[DataFrame, DataFrame]:
     """The measures with the verdict, and (k, bad): the hashes of the lines that each document loses."""
     m = materialize(measured(docs), "quality-measures")
-    classes = materialize(copy_classes(m.select("t", "sketch", "bands")), "quality-copies")
-    m = m.drop("sketch", "bands")
-    often = materialize(frequent_lines(with_content(m.select("t", "source", "at"), classes), min_docs, min_share), "quality-lines")
+    often = materialize(frequent_lines(m, min_docs, min_share), "quality-lines")
     lost = (
         m.dropDuplicates(["k"]).select("k", "source", F.explode("at").alias("x")).alias("d")
         .join(often.alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.x.h") == F.col("f.h")))
@@ -135,8 +132,10 @@ def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept and lost_chars (those in words of
     lines above the limits). A null text is empty: no words, base_failed. A null source is a
-    host of its own. Repeated rows each get their row. An empty table gives
-    an empty result.
+    host of its own. Repeated rows each get their row and count as one
+    document. Very long texts are taken whole. A line at a limit is above it,
+    and so goes; a document that loses exactly ``max_lost`` stays. Other
+    columns are not looked at. An empty table gives an empty result.
     """
     out, _ = judged(docs, min_docs, min_share, max_lost)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.coalesce("lost", F.lit(0)).cast("long").alias("lost_chars"))
@@ -145,7 +144,11 @@ def quality_report(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
 def quality_filter(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE, max_lost: float = MAX_LOST) -> DataFrame:
     """The kept documents, all columns, without the lines above the limits.
 
-    ``n_chars``, where there is such a column, is counted anew.
+    ``n_chars``, where there is such a column, is counted anew. Nulls, empty
+    and very long texts, ties and repeated rows are as in
+    :func:`quality_report`: null and empty texts fail the base rules and go,
+    repeated rows stay or go together. Columns of other names stay as they
+    are. An empty table gives an empty result.
     """
     out, lost = judged(docs, min_docs, min_share, max_lost)
     kept = out.where("kept").select(F.col("k").alias("_q_k")).distinct()

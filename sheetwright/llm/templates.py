@@ -4,11 +4,11 @@ A fixed-depth tree parses each line: first by its number of tokens, then by
 its leading tokens, tokens with digits generalised. Within a leaf, a token
 stays in the template where enough documents have it at its place, else the
 place is a variable field. Lines whose template recurs across documents are
-dropped. Exact and near copies of one document count once (see ``copies``).
+dropped. Documents of one whole text (exact copies) count once; texts that
+differ anywhere are documents of their own.
 
-Leaves that few distinct texts reach end after the first count, so only
-documents of the others are told apart from near copies, and only lines of
-recurring leaves are taken apart into tokens, each distinct line once.
+Leaves that few documents reach end after the first count, and only lines of
+the others are taken apart into tokens, each distinct line once.
 """
 
 from __future__ import annotations
@@ -16,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, row_key, text_of, trigram_hashes, words_of
-from .copies import copy_classes, with_content, with_sketch
+from .common import materialize, maybe_broadcast, row_key, text_of, words_of
 
 #: Leading tokens that the tree looks at below the number of tokens.
 DEPTH = 3
@@ -25,7 +24,7 @@ DEPTH = 3
 MIN_DOCS = 20
 #: Least share of fixed tokens in a template.
 MIN_FIXED = 0.5
-#: Shorter lines are left alone.
+#: Lines of fewer tokens are left alone: a word or two recur in any prose.
 MIN_TOKENS = 3
 #: What stands for a variable field.
 FIELD = "<*>"
@@ -46,26 +45,13 @@ def _parsed(docs: DataFrame, depth: int, min_tokens: int) -> DataFrame:
     return d.select("k", F.xxhash64("text").alias("t"), F.transform(each, lambda x: F.struct(x["i"].alias("i"), x["leaf"].alias("leaf"), x["h"].alias("h"))).alias("at"))
 
 
-def _sketches(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """(t, sketch, bands) of the texts that ``lines`` come from, one document for each text."""
-    one = materialize(lines.groupBy("t").agg(F.min("k").alias("k")), "template-texts")
-    d = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), text_of(F.col("text")).alias("text"))
-    d = d.join(maybe_broadcast(one), "k").select("t", words_of(F.col("text")).alias("words"))
-    d = with_sketch(d.select("t", trigram_hashes(F.col("words")).alias("tri")), "tri")
-    return materialize(d.select("t", "sketch", "bands"), "template-sketches")
-
-
 def recurring_lines(docs: DataFrame, parsed: DataFrame, depth: int, min_docs: int, min_fixed: float) -> DataFrame:
-    """Hashes of the lines whose template recurs."""
+    """Hashes of the lines whose template recurs; ``t``, the whole text's hash, is what counts as a document."""
     lines = parsed.select("k", "t", F.explode("at").alias("x")).select("k", "t", "x.i", "x.leaf", "x.h")
-    # distinct texts are no fewer than classes of near copies
     leaves = materialize(lines.groupBy("leaf").agg(F.count_distinct("t").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "template-leaves")
-    mine = materialize(lines.join(maybe_broadcast(leaves), "leaf"), "template-lines-of-leaves")
-    mine = with_content(mine, materialize(copy_classes(_sketches(docs, mine)), "template-copies"))
-    leaves = materialize(mine.groupBy("leaf").agg(F.count_distinct("content").alias("n")).where(F.col("n") >= min_docs).select("leaf"), "template-leaves")
     # the distinct lines of these leaves, how many documents have each, and a place of each
-    mine = mine.join(maybe_broadcast(leaves), "leaf")
-    counted = mine.groupBy("leaf", "h", "content").agg(F.min(F.struct("k", "i")).alias("at")).groupBy("leaf", "h").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    mine = lines.join(maybe_broadcast(leaves), "leaf")
+    counted = mine.groupBy("leaf", "h", "t").agg(F.min(F.struct("k", "i")).alias("at")).groupBy("leaf", "h").agg(F.count("*").alias("n"), F.min("at").alias("at"))
     counted = materialize(counted.select("leaf", "h", "n", F.col("at.k").alias("k"), F.col("at.i").alias("i")), "template-counts")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("k"), text_of(F.col("text")).alias("text"))
     texts = texts.join(maybe_broadcast(counted), "k").select("leaf", "h", "n", F.get(F.split("text", "\n"), F.col("i")).alias("line"))
@@ -81,7 +67,7 @@ def recurring_lines(docs: DataFrame, parsed: DataFrame, depth: int, min_docs: in
     )
     shapes = materialize(shapes, "template-shapes")
     recur = (
-        mine.join(shapes, ["leaf", "h"]).groupBy("template").agg(F.count_distinct("content").alias("n"))
+        mine.join(shapes, ["leaf", "h"]).groupBy("template").agg(F.count_distinct("t").alias("n"))
         .where(F.col("n") >= min_docs).select("template")
     )
     return shapes.join(recur, "template", "left_semi").select("h").distinct()
@@ -107,8 +93,10 @@ def template_report(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     """doc_id, n_lines, n_dropped and the text that stays, for each row of ``docs``.
 
     A null text has no lines and stays null; an empty one has one empty line.
-    Repeated rows each get their row and lose the same lines. An empty table
-    gives an empty result.
+    Repeated rows each get their row and lose the same lines; very long texts
+    are taken whole. Lines of equal counts need no order, as every line whose
+    template recurs goes. Other columns are not looked at, whatever their
+    names. An empty table gives an empty result.
     """
     out = _without(docs.select("doc_id", F.col("text").cast("string").alias("text")), _marked(docs, depth, min_docs, min_fixed, min_tokens))
     return out.select(
@@ -122,7 +110,11 @@ def template_report(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
 def drop_templates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS, min_fixed: float = MIN_FIXED, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """The documents, all columns, without the lines of recurring templates.
 
-    ``n_chars``, where there is such a column, is counted anew.
+    ``n_chars``, where there is such a column, is counted anew. Nulls, empty
+    and very long texts, ties, repeated rows and empty tables are as in
+    :func:`template_report`: every row stays, a null text stays null, and a
+    text of recurring lines only becomes empty. Columns of other names stay
+    as they are.
     """
     d = _without(docs, _marked(docs, depth, min_docs, min_fixed, min_tokens)).withColumn("text", F.col("_t_text"))
     if "n_chars" in docs.columns:

@@ -26,18 +26,21 @@ def test_template_counts_documents_that_share_words(spark):
     assert templates.template_report(d.where("doc_id < 19")).where("n_dropped > 0").count() == 0
 
 
-@pytest.mark.parametrize("edits", [1, 3])
-def test_near_copies_are_no_template(spark, edits):
-    """60 near copies of one document count once; so they lose no line."""
+@pytest.mark.parametrize("edits", [0, 1, 3])
+def test_copies_count_by_their_whole_texts(spark, edits):
+    """60 exact copies are one document, so they lose no line; 60 texts that differ anywhere are 60 documents, so what they share goes."""
     r, (line, (own,)) = random.Random(9), made(1, 12, 200)
     rows = []
     for i in range(60):
         w = own.split()
         for j in r.sample(range(200), edits):
             w[j] = f"edit{chr(97 + i % 26)}{chr(97 + i // 26)}"
-        rows.append((i, f"{line}\n{' '.join(w)}"))
-    d = spark.createDataFrame(rows, "doc_id long, text string")
-    assert templates.template_report(d).where("n_dropped > 0").count() == 0
+        rows.append((i, f"{line}\n{' '.join(w)}", "h"))
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    gone = templates.template_report(d).where("n_dropped > 0")
+    assert gone.count() == (60 if edits else 0) and gone.where(f"text like '%{line}%'").count() == 0
+    kept = quality.quality_filter(d)
+    assert kept.count() == 60 and kept.where(f"text like '%{line}%'").count() == (0 if edits else 60)
 
 
 def test_host_line_counts_depleted_documents(spark):

@@ -1,28 +1,17 @@
 """Quality rules, line dedup, near duplicates, mixing: against plain versions."""
 
+import random
 import re
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
-import xxhash
 
 from sheetwright.llm import mixing, near, quality, templates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def signed(h):
-    return h - (1 << 64) if h >> 63 else h
-
-
-def chain(parts):
-    h = 42
-    for p in parts:
-        h = xxhash.xxh64(p.encode(), seed=h).intdigest()
-    return signed(h)
-
-
 def base_measures(t):
     w = WORD.findall(t)
     tri = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -33,15 +22,13 @@ def base_measures(t):
 
 
 def brute_quality(rows, least=2, share=0.05):
-    key, lines, hosts = {}, defaultdict(set), defaultdict(set)
+    lines, hosts = defaultdict(set), defaultdict(set)
     for i, t, source in rows:
-        w = WORD.findall(t)
-        key[i] = min((chain(w[j : j + 3]) for j in range(len(w) - 2)), default=chain([t]))
-        hosts[source].add(key[i])
+        hosts[source].add(t)
         for x in t.split("\n"):
             n = "".join(WORD.findall(x)).lower()
             if n:
-                lines[source, n].add(key[i])
+                lines[source, n].add(t)
     bad = {k for k, v in lines.items() if len(v) >= least and len(v) >= share * len(hosts[k[0]])}
     out = {}
     for i, t, source in rows:
@@ -80,19 +67,74 @@ def test_depleted(spark):
 
 
 def test_templates(spark, docs, none):
-    own = [" ".join(f"own{chr(97 + i)}{chr(97 + j)}" for j in range(20)) for i in range(26)]
-    rows = [(i, f"{own[i]}\nPosted by user{i} on day{i}\nRead more stories about city{chr(97 + i)} today please\nshort") for i in range(26)]
+    rows = [(i, f"unique {i} words of document number{i} are here\nPosted by user{i} on day{i}\nRead more stories about city{chr(97 + i)} today please\nshort") for i in range(26)]
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in templates.template_report(d, min_docs=12).collect()}
+    got = {r.doc_id: r for r in templates.template_report(d).collect()}
     assert all("Posted by" not in r.text and "short" in r.text and r.n_lines == 4 for r in got.values())
     assert all("Read more" not in r.text for r in got.values()) and got[5].n_dropped >= 2
-    few = templates.template_report(d.where("doc_id < 10"), min_docs=12)
+    few = templates.template_report(d.where("doc_id < 10"))
     assert few.where("n_dropped > 0").count() == 0
     assert templates.template_report(docs).count() == docs.count() and templates.drop_templates(docs).columns == docs.columns
     assert templates.template_report(docs).where("doc_id = 200").first().text is None
     assert templates.template_report(none).count() == 0
 
 
+def brute_templates(rows, least, depth=3, fixed_share=0.5, shortest=3):
+    """The template tree in plain Python: what each document loses."""
+    lines = {}
+    for i, t in rows:
+        for x in t.split("\n"):
+            tokens = tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(x))
+            if len(tokens) >= shortest:
+                lines.setdefault((len(tokens), tokens[:depth]), defaultdict(set))[tokens].add(t)
+    bad = set()
+    for held in lines.values():
+        if len(set().union(*held.values())) < least:
+            continue
+        at = Counter()
+        for tokens, texts in held.items():
+            for place, w in enumerate(tokens):
+                at[place, w] += len(texts)
+        shapes = defaultdict(set)
+        for tokens in held:
+            kept = tuple((place, w) for place, w in enumerate(tokens) if w != "<*>" and at[place, w] >= least)
+            if kept and len(kept) >= fixed_share * len(tokens):
+                shapes[kept].add(tokens)
+        for same in shapes.values():
+            if len(set().union(*(held[t] for t in same))) >= least:
+                bad |= same
+    out = []
+    for i, t in rows:
+        gone = [tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(x)) in bad for x in t.split("\n")]
+        out.append((i, len(gone), sum(gone), "\n".join(x for x, g in zip(t.split("\n"), gone) if not g)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("least", [2, 5, 20])
+def test_templates_by_brute_force(docs, rows, least):
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in templates.template_report(docs, min_docs=least).where("doc_id != 200").collect())
+    assert got == brute_templates([(i, t) for i, t, *_ in rows if t is not None], least)
+
+
+def test_templates_on_the_table(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in d.collect()]
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in templates.template_report(d, min_docs=5).collect())
+    want = brute_templates(rows, 5)
+    assert got == want and sum(x[2] for x in want) > 0
+
+
+def test_one_line_of_many_unlike_documents(spark):
+    """A line that 200 documents share goes from all of them, by templates and per host, though they share words too."""
+    words = [f"w{chr(97 + i // 10)}{chr(97 + i % 10)}" for i in range(100)]
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice(words) for _ in range(60)) + "\nRead the whole story on our own site", "h") for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert templates.template_report(d).where("n_dropped = 1 and text not like '%story%'").count() == 200
+    kept = quality.quality_filter(d)
+    assert kept.count() == 200 and kept.where("text like '%story%'").count() == 0
+
+
 def test_copies_are_no_template(spark):
     d = spark.createDataFrame([(i, "a document that was copied very often indeed\nwith two lines of words") for i in range(40)], "doc_id long, text string")
     assert templates.template_report(d).where("n_dropped > 0").count() == 0
@@ -125,10 +167,11 @@ def brute_near(rows):
     return sorted((i, min(group[find(n)]), links[n]) for n, (i, _) in enumerate(sets))
 
 
-@pytest.mark.parametrize("small, block", [(512, 256), (3, 2)])
+@pytest.mark.parametrize("small, block", [(512, 1024), (3, 2)])
 def test_near(docs, rows, none, monkeypatch, small, block):
     monkeypatch.setattr(near, "SMALL", small)
     monkeypatch.setattr(near, "BLOCK", block)
+    monkeypatch.setattr(near, "BLOCK_ITEMS", 400 * block)
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in near.near_join(docs).collect())
     want = brute_near([(i, t or "") for i, t, *_ in rows])
     assert got == want
@@ -138,6 +181,39 @@ def test_near(docs, rows, none, monkeypatch, small, block):
         assert near.near_join(none).count() == 0 and near.near_filter(none).count() == 0
 
 
+def test_recall_of_planted_pairs(spark, monkeypatch):
+    """Pairs at 0.8 to 0.9 that share all they share with a third of the others, on paths that are too large to compare at once."""
+    monkeypatch.setattr(near, "SMALL", 16)
+    r = random.Random(11)
+    common = [f"c{i}" for i in range(40)]
+    rows, pairs = [], []
+    for i in range(300):
+        own = [f"d{i}x{j}" for j in range(70)]
+        words = (common if i % 3 == 0 else []) + own
+        twin = list(words)
+        for at in r.sample(range(len(common) if i % 3 == 0 else 0, len(words)), 1):
+            twin[at] = "edit"
+        pairs.append((2 * i, 2 * i + 1))
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(twin))]
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    due = [(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {x.doc_id: x.class_id for x in near.near_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(due) > 250 and sum(got[a] == got[b] for a, b in due) >= 0.99 * len(due)
+
+
+def test_shared_items(monkeypatch):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for n, low, high, of in ((2, 1, 5, 8), (5, 0, 50, 100), (40, 10, 300, 400)):
+        sets = [np.unique(near.mix(r.integers(0, of, r.integers(low, high + 1)).astype(np.uint64))) for _ in range(n)]
+        want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+        for part in (200_000, 37):
+            monkeypatch.setattr(near, "SLICE_ITEMS", part)
+            got = near.shared_items(sets)
+            assert all(got[i, j] == want[i, j] for i in range(n) for j in range(n) if i != j)
+
+
 def test_mix(docs, rows, none):
     db = duckdb.connect()
     db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
