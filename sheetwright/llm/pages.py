@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,27 +22,36 @@ from pyspark.sql import functions as F
 #: Pages of the labelled table: about 20 blocks each.
 TRAINING_PAGES = 240
 DEPTH, LEAF = 6, 12
+#: Share of the labelled table's adverts and notices that no name tells.
+UNNAMED = 0.25
 
-_RAW = "script|style|noscript|template|textarea|title|iframe|svg|object|select|button|math"
+_RAW = "script|style|noscript|template|textarea|title|iframe|svg|object|select"
+#: Comments, elements without readable text, declarations, and tags. Nothing but quoted values and comments
+#: runs past a "<", so a page of unclosed tags is read in time in proportion to its length.
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})\b[^<>]*(?:(?<=/)>|>.*?(?:</\1\s*>|\Z))|<[!?][^<>]*>"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*)>",
     re.S | re.I,
 )
 _ATTR = re.compile(r"\b(class|id|role|aria-label|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 #: Elements that don't end a block.
-_INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big br button cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow msup msub mfrac msqrt semantics annotation".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MAIN = frozenset("article main".split())
 _OTHER = frozenset("nav footer aside form menu dialog head fieldset".split())
-#: Words in class, id or role that mark what isn't the article.
-_OTHER_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner\w*|sponsor\w*|promo\w*|breadcrumbs?|comments?|commentlist|respond|disqus\w*|reply|replies|discussion|cookies?|consent|gdpr|notices?|alerts?|warning|popup|modal|overlay|"
-    r"nav\w*|menu\w*|side\w*|footer|foot|bottom|masthead|topbar|toolbar|header|share\w*|social|related|recommend\w*|more-from|newsletter|subscri\w*|signup|login|search\w*|widgets?|tags?|pagination|pager|copyright|legal|disclaimer|"
-    r"contentinfo|complementary|navigation|hidden|skip\w*|tool\w*|form\w*)(?:$|[\s_-]|\d)",
-    re.I,
+#: Words that mark what isn't the article, as the first or last word of a name in class, id or role.
+_OTHER_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored sponsors promo promos promoted promotion breadcrumb breadcrumbs comment comments commentlist "
+    "respond disqus reply replies discussion cookie cookies cookiebar consent gdpr notice notices alert alerts warning popup modal overlay nav navbar navigation menu submenu menubar sidebar sidenav "
+    "sidemenu aside footer foot topbar toolbar share sharing sharebar social related recommended recommendations newsletter subscribe subscription signup login search searchbox widget widgets "
+    "tags tagcloud pagination pager copyright legal disclaimer contentinfo complementary skip skiplink hidden".split()
 )
-_MAIN_NAME = re.compile(r"(?:^|[\s_-])(?:article\w*|main\w*|content|post\w*|entry\w*|story\w*|body-?text|text|prose)(?:$|[\s_-])", re.I)
+#: Words of page headers; within the article a header is the article's.
+_HEAD_WORDS = frozenset("header masthead banner".split())
+_MAIN_FIRST, _MAIN_LAST = frozenset("article main content post entry story prose".split()), frozenset("article main content post entry story prose text body bodytext".split())
+#: Names that begin or end so tell how a page is laid out or switched, not what an element holds.
+_FLAG_FIRST, _FLAG_LAST = frozenset("no not has have with without is js hide show".split()), frozenset("enabled disabled on off open closed active visible".split())
+_SHAPES = frozenset("wide narrow full left right top bottom large small big fixed fluid dark light inner outer wrapper wrap container box block area section".split())
 _GONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "main", "other", "heading", "item")
@@ -56,6 +66,7 @@ def blocks(page: str) -> list[dict]:
     """
     out: list[dict] = []
     stack: list[tuple[str, int, int]] = []  # open element, main, other
+    open_names: Counter[str] = Counter()
     parts: list[str] = []
     linked: list[str] = []
     state = {"main": 0, "other": 0, "heading": 0, "item": 0}
@@ -90,11 +101,12 @@ def blocks(page: str) -> list[dict]:
         if name in _INLINE:
             if not closing and m[4] and _marks(name, m[4])[2]:
                 stack.append((name, state["main"], 1))
+                open_names[name] += 1
                 end()
                 state["other"] = 1
             elif closing and any(x[0] == name for x in stack[-1:]):
                 end()
-                stack.pop()
+                open_names[stack.pop()[0]] -= 1
                 _, state["main"], state["other"] = stack[-1] if stack else ("", 0, 0)
             continue
         end()
@@ -110,13 +122,15 @@ def blocks(page: str) -> list[dict]:
         if name in _VOID or name in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "dt", "dd", "html", "body") and (closing or not m[4]):
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
+            while open_names[name]:  # each element is closed once, however deep
+                last = stack.pop()[0]
+                open_names[last] -= 1
+                if last == name:
                     break
         else:
-            main, other, _ = _marks(name, m[4])
             was = stack[-1] if stack else ("", 0, 0)
+            main, other, _ = _marks(name, m[4], was[1])
+            open_names[name] += 1
             if main and not other:
                 stack.append((name, 1, was[2] if was[1] or name not in _MAIN else 0))
             elif other and not (name == "header" and was[1]):
@@ -130,10 +144,30 @@ def blocks(page: str) -> list[dict]:
     return out
 
 
-def _marks(name: str, attributes: str) -> tuple[int, int, int]:
+def name_kind(name: str, inside: int = 0) -> str:
+    """What a name in class, id or role says of its element: "main", "other", "shape" (other, with a word of its shape) or "".
+
+    A name is taken apart at hyphens, underscores and capitals, and judged by
+    its first and last word; inside: whether the element is in the article.
+    """
+    parts = [p for p in (x.rstrip("0123456789").lower() for x in re.split(r"[-_\s]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", name))) if p]
+    if not parts or len(parts) > 1 and (parts[0] in _FLAG_FIRST or parts[-1] in _FLAG_LAST):
+        return ""
+    shaped = False
+    while len(parts) > 1 and parts[-1] in _SHAPES:
+        parts.pop()
+        shaped = True
+    words = _OTHER_WORDS if inside else _OTHER_WORDS | _HEAD_WORDS
+    if parts[-1] in words or parts[0] in words or "".join(parts) in words:
+        return "shape" if shaped else "other"
+    return "main" if parts[0] in _MAIN_FIRST or parts[-1] in _MAIN_LAST else ""
+
+
+def _marks(name: str, attributes: str, inside: int = 0) -> tuple[int, int, int]:
     """Whether an element marks the article, something else, or is out of sight."""
     main, other, gone = int(name in _MAIN), int(name in _OTHER or name == "header"), 0
     if attributes and name not in ("html", "body"):
+        kinds: list[str] = []
         for key, *values in _ATTR.findall(attributes):
             key, value = key.lower(), next((v for v in values if v), "")
             if key == "style":
@@ -142,11 +176,11 @@ def _marks(name: str, attributes: str) -> tuple[int, int, int]:
                 gone = 1
             elif key == "aria-hidden":
                 gone |= value.lower() == "true"
-            elif _OTHER_NAME.search(value) and not (main and name in _MAIN):
-                other = 1
-            elif _MAIN_NAME.search(value):
-                main = 1
-    return main, int(other or gone), int(gone)
+            elif name not in _MAIN:
+                kinds += [name_kind(x, inside) for x in value.split()]
+        main |= "main" in kinds
+        other |= "other" in kinds or "shape" in kinds and "main" not in kinds
+    return int(main), int(other or gone), int(gone)
 
 
 def features(found: list[dict]) -> np.ndarray:
@@ -196,11 +230,13 @@ class Tree:
             k = a if row[f] <= cut else b
 
 
-def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, set[str]]]:
+def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5, unnamed: float = 0.0) -> list[tuple[str, set[str]]]:
     """Made pages and the texts of their article blocks: the small labelled table.
 
     Layouts vary in how the article and the rest are marked, or whether they
-    are at all, and in how long and how linked the blocks are.
+    are at all, and in how long and how linked the blocks are. ``unnamed``:
+    share of adverts and notices whose class says nothing, so that only words
+    and links tell them.
     """
     r = random.Random(seed)
     stems = "time river stone market garden winter signal engine paper window bridge forest letter music school harbour silver valley planet teacher".split()
@@ -214,6 +250,10 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, se
     def linked(low: int, high: int) -> str:
         return f'<a href="/x">{text(low, high)}</a>'
 
+    def named(*names: str) -> str:
+        """One of the names, or one that says nothing."""
+        return r.choice(names) if r.random() >= unnamed else "".join(r.choice("bcdfghjklmnpqrstvwxz") for _ in range(6))
+
     def menu() -> str:
         items = "".join(f"<li>{linked(1, 3)}</li>" for _ in range(r.randint(3, 7)))
         return r.choice(["<nav><ul>%s</ul></nav>", '<div class="menu"><ul>%s</ul></div>', "<ul>%s</ul>", '<div id="nav"><ul>%s</ul></div>']) % items
@@ -223,11 +263,11 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, se
         if kind == 0:
             return menu()
         if kind == 1:
-            return f'<div class="{r.choice(["ad", "ads", "advert", "sponsored", "banner-ad"])}">{text(4, 30)}</div>'
+            return f'<div class="{named("ad", "ads", "advert", "sponsored", "banner-ad")}">{text(4, 30)}</div>'
         if kind == 2:
             return r.choice(["<aside>%s</aside>", '<div class="sidebar">%s</div>']) % f"<h3>{text(1, 4)}</h3><p>{text(5, 30)}</p><p>{linked(3, 8)}</p>"
         if kind == 3:
-            return f'<div class="{r.choice(["cookie-notice", "notice", "alert", "consent"])}"><p>{text(8, 35)}</p></div>'
+            return f'<div class="{named("cookie-notice", "notice", "alert", "consent")}"><p>{text(8, 35)}</p></div>'
         if kind == 4:
             return f"<form><label>{text(1, 4)}</label><input><p>{text(2, 12)}</p></form>"
         if kind == 5:
@@ -268,7 +308,7 @@ def labelled_pages(n: int = TRAINING_PAGES, seed: int = 5) -> list[tuple[str, se
 def trained(pages: int = TRAINING_PAGES) -> Tree:
     """The tree, trained on the blocks of ``pages`` labelled pages."""
     x, y = [], []
-    for page, good in labelled_pages(pages):
+    for page, good in labelled_pages(pages, unnamed=UNNAMED):
         found = blocks(page)
         x.append(features(found))
         y += [b["text"] in good for b in found]
@@ -284,8 +324,11 @@ def main_text(page: str, tree: Tree) -> str:
 def extract_pages(pages: DataFrame, tree: Tree | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points), one row for each row of ``pages``.
 
-    A null html is empty; a page without an article has an empty text.
-    Nothing is shuffled; the tree is a few hundred bytes.
+    A null or empty html has an empty text, as has a page without an
+    article. Repeated rows each get their row; equal pages have equal texts.
+    Very long and broken pages are taken whole, in time in proportion to
+    their length. Other columns are not looked at. An empty table gives an
+    empty result. Nothing is shuffled; the tree is a few hundred bytes.
     """
     tree = tree or trained()
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

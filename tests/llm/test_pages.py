@@ -3,8 +3,10 @@
 import hashlib
 import html
 import re
+import time
 
 import duckdb
+import numpy as np
 import pytest
 
 from sheetwright.llm import chat, pages, warc
@@ -54,6 +56,23 @@ def test_extraction_on_held_out_pages():
     assert right / n >= 0.98
 
 
+def blocks_of(n, seed, unnamed):
+    x, y = [], []
+    for page, good in pages.labelled_pages(n, seed, unnamed):
+        found = pages.blocks(page)
+        x.append(pages.features(found))
+        y += [b["text"] in good for b in found]
+    return np.vstack(x), np.array(y, float)
+
+
+@pytest.mark.parametrize("features, least", [(10, 0.96), (6, 0.75)])
+def test_extraction_where_names_say_nothing(features, least):
+    """Half of the adverts and notices without telling names; then a tree of words and links alone, the first six features."""
+    tree = pages.trained() if features == 10 else pages.Tree(*[v[:, :6] if v.ndim == 2 else v for v in blocks_of(pages.TRAINING_PAGES, 5, pages.UNNAMED)])
+    x, y = blocks_of(120, 78, 0.5)
+    assert np.mean([tree.says(row) == bool(v) for row, v in zip(x[:, :features].tolist(), y)]) >= least
+
+
 def test_extraction_on_the_table(spark, sf):
     d = spark.read.parquet(f"{sf}/pages.parquet")
     got = {r.page_id: r for r in pages.extract_pages(d).collect()}
@@ -76,6 +95,39 @@ def test_odd_pages(spark):
     assert pages.extract_pages(d.limit(0)).count() == 0
 
 
+LONG = " ".join(["The river carried the letters of the old market past the garden and under the bridge every winter"] * 4)
+
+
+@pytest.mark.parametrize("start, end", [
+    ('<div class="content no-sidebar">', "</div>"),
+    ('<div id="main" class="article-body share-enabled">', "</div>"),
+    ('<article><div class="story-form-wide">', "</div></article>"),
+    ('<main class="has-footer"><div class="post sidebar-left">', "</div></main>"),
+])
+def test_compound_names(start, end):
+    page = f'<body><nav class="mainNav"><a href="/">home</a> <a href="/a">all</a></nav>{start}<p>{LONG} one.</p><p>{LONG} two.</p>{end}<div class="comment-body"><p>{LONG} three.</p></div><div id="siteFooter"><p>All rights reserved</p></div></body>'
+    assert pages.main_text(page, pages.trained()) == f"{LONG} one.\n{LONG} two."
+
+
+def test_names():
+    kinds = {"no-sidebar": "", "share-enabled": "", "story-form-wide": "main", "comment-body": "other", "post-comments": "other", "mainNav": "other", "sidebar_left": "shape", "site-footer": "other", "entry-content": "main", "ad-300": "other", "shadow": "", "headline": "", "x7f3": ""}
+    assert {k: pages.name_kind(k) for k in kinds} == kinds
+    assert pages.name_kind("entry-header", 1) == "main" and pages.name_kind("header") == "other"
+
+
+def test_words_in_buttons_and_formulas():
+    page = f"<article><p>{LONG} press <button>Start</button> and <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>"
+    assert pages.main_text(page, pages.trained()) == f"{LONG} press Start and x=2 holds."
+
+
+@pytest.mark.parametrize("part", ["<a ", "<div ", "<script ", "<!", "<!--", "<a href='", '<p class="', "<div></section>", "<div>", "</div>", "<b><p>", "&amp", "<"])
+def test_a_megabyte_of_broken_tags(part):
+    tree = pages.trained()
+    began = time.process_time()
+    pages.main_text(part * (1_000_000 // len(part)), tree)
+    assert time.process_time() - began < 6
+
+
 TURNS = [
     (0, 0, "system", "be kind"), (0, 1, "user", "hi"), (0, 2, "assistant", "hello"), (1, 0, "system", "be kind"), (1, 1, "user", "hi"), (1, 2, "assistant", "go away"), (1, 3, "user", None),
     (2, 0, "user", "only one"), (5, 0, "user", "other only"), (6, 0, "user", "same"), (7, 0, "user", "same"), (8, 0, None, "x"), (8, 0, "assistant", "tie"), (9, 1, "assistant", "tie"), (None, 0, "user", "lost"),
