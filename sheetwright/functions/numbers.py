@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import fixed
-from ..rules.build import lookup
-from .text import strip
+from ..rules.build import any_of, lookup
+from .text import quoted, strip, without_index
 
 _STANDARD = r"^([A-Z]{1,2})[-.]?(\d)(\d{1,3})(?:\.(\d{1,2}))?$"
 _DECIMAL = r"^([A-Z]{1,2})[-.]?(\d)\.(\d{1,2})$"
@@ -84,9 +84,9 @@ def number_check(number: Column) -> Column:
 
 
 def candidate_shape(number: Column) -> Column:
-    """Two to eight characters, letters first, one to three digits in all."""
-    digits = F.length(F.regexp_replace(number, r"\D", ""))
-    return F.length(number).between(2, 8) & number.rlike(r"^[A-Z]{1,2}[-.]?\d") & digits.between(1, 3)
+    """Two to eight characters, a letter first, one to three digits in all."""
+    digits = F.length(F.regexp_replace(number, r"[^0-9]", ""))
+    return F.length(number).between(2, 8) & number.rlike(r"^[A-Z]") & digits.between(1, 3)
 
 
 def variants(number: Column) -> Column:
@@ -105,23 +105,39 @@ def discipline_of(number: Column) -> Column:
     return F.when(number.isNotNull() & (number != ""), lookup(F.upper(F.substring(number, 1, 1)), fixed.DISCIPLINE_CODES, "Unknown"))
 
 
-_LABELS = ["SHEET NUMBER", "SHEET NO", "SHEET #", "DWG NO", "DRAWING NO", "SHEET"]
-_VALUE = r"([A-Z]{1,2}[-.]?\d{1,3}(?:\.\d{1,2})?)"
-
-
 def number_from_text(text: Column) -> Column:
-    """A sheet number by labels on its line, on the lines below, or alone on one of the last 40 lines.
+    """A sheet number behind a label, below one, or alone on one of the last 40 lines.
 
-    Labels go before places: each pattern's first match is tried, the next
-    pattern only if that isn't a candidate. Null if nothing fits.
+    Labels go in order, cut ones last, and may stand a line above: each one's
+    first match is tried, the next label only if that isn't a candidate. Then
+    comes the first line that ends in a label and has a candidate at the
+    start of the next line with text, three lines below at most. Null if
+    nothing fits.
     """
-    t = F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)(?:DRAWING|SHEET) INDEX:?.*?(?=\n\n|\z)", ""))
+    t = F.upper(without_index(F.coalesce(text, F.lit(""))))
     fit = lambda x: F.when(candidate_shape(x), x)
-    fixed_ = lambda x: F.regexp_replace(x, r"(?<=\d\.)O", "0")
-    same_line = [fit(fixed_(F.regexp_extract(t, rf"{label.replace(' ', r'[ \t]*')}\.?[ \t]*:{'' if label == 'SHEET' else '?'}[ \t]*{_VALUE}", 1))) for label in _LABELS]
-    cut = [fit(fixed_(F.regexp_extract(t, rf"{label}\.?[ \t]*:?[ \t]*{_VALUE}", 1))) for label in (r"EET[ \t]*NO", r"(?<![A-Z])NO")]
-    below = fit(fixed_(F.regexp_extract(t, rf"(?m)(?:SHEET|DWG|DRAWING)[ \t]*(?:NUMBER|NO|#)?\.?[ \t]*:?[ \t]*\n(?:[ \t]*\n){{0,2}}[ \t]*{_VALUE}[ \t]*$", 1)))
-    lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
+    labelled = [fit(F.regexp_extract(t, label + fixed.NUMBER_VALUE, 1)) for label in fixed.NUMBER_LABELS]
+    lines = F.transform(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")))
+    line = lambda i: F.nullif(F.get(lines, i), F.lit(""))
+    under = F.transform(lines, lambda x, i: F.when(x.rlike(any_of(fixed.NUMBER_LINE_ENDS, ignore_case=False)), fit(F.regexp_extract(F.coalesce(line(i + 1), line(i + 2), line(i + 3)), "^" + fixed.NUMBER_VALUE, 1))))
+    below = F.get(F.array_compact(under), F.lit(0))
     last = F.slice(lines, F.greatest(F.size(lines) - 39, F.lit(1)), F.lit(40))
-    alone = F.get(F.filter(F.reverse(last), lambda x: x.rlike(f"^{_VALUE}$") & candidate_shape(x)), F.lit(0))
-    return F.coalesce(*same_line, *cut, below, alone)
+    alone = F.get(F.filter(F.reverse(last), lambda x: x.rlike(f"^{fixed.NUMBER_VALUE}$") & candidate_shape(x)), F.lit(0))
+    return F.coalesce(*labelled, below, alone)
+
+
+def title_sheet_number(text: Column) -> Column:
+    """The first number of a title sheet anywhere in a text, six characters at most."""
+    found = F.regexp_extract_all(F.upper(F.coalesce(text, F.lit(""))), F.lit(fixed.TITLE_SHEET_NUMBER), F.lit(1))
+    return F.get(F.filter(found, lambda x: F.length(x) <= 6), F.lit(0))
+
+
+def false_project(value: Column, text: Column) -> Column:
+    """Whether a project number is part of a date, a year, or a street, phone or postal number of its text."""
+    v, up = strip(value), F.upper(text)
+    q = quoted(v)
+    seen = lambda where, *parts: F.rlike(where, F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]))
+    street = seen(up, q, r"\s+(?:" + "|".join(fixed.STREETS) + ")") | seen(up, q, fixed.STREET_ADDRESS)
+    phone = seen(text, r"\d{3}[-.\s]\d{3}[-.\s]", q) | seen(text, q, r"[-.\s]\d{3}[-.\s]\d{4}") | seen(text, r"\d{3}[-.\s]", q, r"[-.\s]\d{4}")
+    postal = v.rlike(r"^\d{5}$") & seen(up, r"[A-Z]{2}\s+", q)
+    return F.coalesce(seen(text, r"\d{1,2}[/-]\d{1,2}[/-]", q) | v.isin(fixed.YEARS) | street | phone | postal, F.lit(False))

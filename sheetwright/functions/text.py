@@ -30,12 +30,12 @@ def blank_to_null(x: Column) -> Column:
 
 def without_index(x: Column) -> Column:
     """Without drawing-index sections, each up to a blank line or the end."""
-    return F.regexp_replace(x, r"(?is)(?:DRAWING|SHEET) INDEX:?.*?(?=\n\n|\z)", "")
+    return F.regexp_replace(x, r"(?is)(?:DRAWING|SHEET) INDEX:.*?(?=\n\n|\z)", "")
 
 
 def repair_zero(x: Column) -> Column:
-    """The letter O after a decimal point as a zero: A1.O is A1.0."""
-    return F.regexp_replace(x, r"(?<=\d\.)O", "0")
+    """The letter O that is all after a decimal point as a zero: A1.O is A1.0, A1.OFFICE stays."""
+    return F.regexp_replace(x, r"(?<=\d\.)[Oo]\b", "0")
 
 
 def truncated(x: Column, most: int = fixed.TITLE_MAX) -> Column:
@@ -47,9 +47,6 @@ def capitalized(word: Column) -> Column:
     return F.concat(F.upper(F.substring(word, 1, 1)), F.lower(word.substr(F.lit(2), F.length(word))))
 
 
-SMALL_WORDS = ["and", "or", "the", "a", "an", "of", "for", "to", "in", "on", "at", "by", "with"]
-
-
 def title_case(x: Column) -> Column:
     """All-capital titles in title case, acronyms kept; other titles as they are."""
     shouting = (F.upper(x) == x) & (F.lower(x) != x)
@@ -57,7 +54,7 @@ def title_case(x: Column) -> Column:
     made = F.transform(
         words,
         lambda w, i: F.when(F.upper(w).isin(fixed.TITLE_ACRONYMS), F.upper(w))
-        .when((i > 0) & F.lower(w).isin(SMALL_WORDS), F.lower(w))
+        .when((i > 0) & F.lower(w).isin(fixed.SMALL_WORDS), F.lower(w))
         .otherwise(capitalized(w)),
     )
     return F.when(shouting, F.array_join(made, " ")).otherwise(x)
@@ -77,7 +74,7 @@ def same_title(a: Column, b: Column) -> Column:
 def safe_filename(x: Column, most: int) -> Column:
     """Unsafe characters as underscores, runs of them as one, none at the ends."""
     clean = F.regexp_replace(F.coalesce(x, F.lit("untitled")), r'[<>:"/\\|?*\x00-\x1f\s]+', "_")
-    clean = F.regexp_replace(F.regexp_replace(clean, "_+", "_"), r"^[_.]+|[_.]+$", "")
+    clean = F.regexp_replace(F.regexp_replace(clean, "_+", "_"), r"^_+|_+$", "")
     return F.coalesce(F.nullif(F.regexp_replace(F.substring(clean, 1, most), "_+$", ""), F.lit("")), F.lit("untitled"))
 
 
@@ -101,7 +98,7 @@ def all_fields(x: Column, field: str) -> Column:
 
 def quoted(x: Column) -> Column:
     """The text as a pattern that matches it literally."""
-    return F.regexp_replace(x, r"([^A-Za-z0-9_])", r"\\\\$1")
+    return F.regexp_replace(x, r"([^A-Za-z0-9_])", r"\\$1")
 
 
 def has_title_keyword(x: Column, plural: bool = True) -> Column:
@@ -120,3 +117,14 @@ def any_pattern(x: Column, patterns: list[str]) -> Column:
 def first_json(x: Column) -> Column:
     """The first braced block of a model's reply."""
     return F.nullif(F.regexp_extract(x, r"(?s)\{.*\}", 0), F.lit(""))
+
+
+def clean_title(x: Column, least: int = 0) -> Column:
+    """Without blanks, hyphens and colons at the ends, white space as one blank; null for a bare label or below ``least`` characters."""
+    t = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^[\s\-:]+", ""), r"[\s\-:]+$", ""), r"\s+", " "))
+    return F.when((t != "") & (F.length(t) >= least) & ~F.upper(t).isin(fixed.BARE_TITLE_LABELS), t)
+
+
+def preview(x: Column, most: int = 50) -> Column:
+    """The first characters of a text."""
+    return F.substring(x, 1, most)

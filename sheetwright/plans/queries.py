@@ -268,7 +268,7 @@ def quality_gate(spark, sf_dir):
 
 
 _CASED = """CASE WHEN t = upper(t) AND t <> lower(t) THEN array_to_string(list_transform(string_split(t, ' '), lambda w, i:
-  CASE WHEN w IN {ac} THEN w WHEN i > 1 AND lower(w) IN {small} THEN lower(w) ELSE upper(w[1:1]) || lower(w[2:]) END), ' ') ELSE t END""".replace("{ac}", _list(fixed.TITLE_ACRONYMS)).replace("{small}", _list(text.SMALL_WORDS))
+  CASE WHEN w IN {ac} THEN w WHEN i > 1 AND lower(w) IN {small} THEN lower(w) ELSE upper(w[1:1]) || lower(w[2:]) END), ' ') ELSE t END""".replace("{ac}", _list(fixed.TITLE_ACRONYMS)).replace("{small}", _list(fixed.SMALL_WORDS))
 
 
 @query("validate_titles", f"""WITH v AS (SELECT t, {_GARBAGE} AS bad, {_KEY} AS key FROM {_TITLED})
@@ -331,15 +331,18 @@ hits AS (SELECT t.pdf_filename, n, arg_min(title, step) AS index_title, min(step
 def index_lookup(spark, sf_dir):
     """O-JOIN-1, O-JOIN-2."""
     s = fixtures.sheets(spark, sf_dir)
-    d = index.lookup_titles(s.select("pdf_filename", "sheet_number").distinct(), fixtures.index_entries(s))
-    return d.where(F.col("index_step").isin("exact", "variant")).select("pdf_filename", "sheet_number", "index_title", "index_step")
+    d = index.lookup_titles(s.select("pdf_filename", "sheet_number").distinct(), fixtures.index_entries(s), similar=False)
+    return d.where("index_step is not null").select("pdf_filename", "sheet_number", "index_title", "index_step")
 
 
 @query("index_similar")
 def index_similar(spark, sf_dir):
-    """O-JOIN-3."""
+    """O-JOIN-3: numbers with a letter doubled or a digit too many; a test holds the ratios against difflib."""
     s = fixtures.sheets(spark, sf_dir)
-    return index.lookup_titles(s.select("pdf_filename", "sheet_number").distinct(), fixtures.index_entries(s)).where("index_step = 'similar'")
+    k, n = F.col("o_orderkey"), F.col("sheet_number")
+    altered = F.when(F.pmod(k, F.lit(2)) == 0, F.concat(F.substring(n, 1, 1), n)).otherwise(F.concat(n, F.pmod(k, F.lit(10)).cast("string")))
+    asked = s.where("sheet_number is not null").select("pdf_filename", altered.alias("sheet_number")).distinct()
+    return index.lookup_titles(asked, fixtures.index_entries(s)).where("index_step = 'similar'")
 
 
 @query("cross_reference", f"""WITH {_LOOKUP},
@@ -351,8 +354,7 @@ SELECT pdf_filename, page_number, CASE WHEN o THEN index_title ELSE sheet_title
 def cross_reference(spark, sf_dir):
     """O-JOIN-8."""
     s = fixtures.sheets(spark, sf_dir)
-    d = index.lookup_titles(s, fixtures.index_entries(s))
-    d = d.withColumn("index_title", F.when(F.col("index_step").isin("exact", "variant"), F.col("index_title")))
+    d = index.lookup_titles(s, fixtures.index_entries(s), similar=False)
     d = d.withColumn("title_method", F.element_at(F.array(F.lit("pattern"), F.lit("spatial"), F.lit("vision_api")), (F.pmod("o_orderkey", F.lit(3)) + 1).cast("int")))
     return index.cross_reference(d).select("pdf_filename", "page_number", "sheet_title", "title_method", "title_confidence", "needs_review", "xref_override", "xref_conflict")
 
@@ -362,7 +364,10 @@ _PAGES = """pages_ AS (SELECT pdf_filename AS pdf, CAST(1 + ord % 3 AS INTEGER)
 
 def _index_pages(spark, sf_dir):
     e = fixtures.index_entries(fixtures.sheets(spark, sf_dir)).withColumn("page", (F.pmod("ord", F.lit(3)) + 1).cast("int"))
-    line = F.when(F.pmod("ord", F.lit(4)) == 0, F.concat("sheet_number", F.lit("   "), "title", F.lit("\nOF UPPER FLOORS"))).otherwise(F.concat("sheet_number", F.lit("   "), "title"))
+    # every separator; a line that begins like a number but is no entry continues nothing
+    between = F.element_at(F.array(*[F.lit(x) for x in ("   ", "\t", " - ", "     ", " \u2013 ", " ")]), (F.pmod("ord", F.lit(6)) + 1).cast("int"))
+    below = F.when(F.pmod("ord", F.lit(4)) == 0, "\nOF UPPER FLOORS").when(F.pmod("ord", F.lit(4)) == 1, "\nA9:REFUSED").otherwise("")
+    line = F.concat("sheet_number", between, "title", below)
     lines = e.groupBy(F.col("pdf_filename").alias("pdf"), "page").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
     return lines.select("pdf", "page", F.concat(F.lit("DRAWING INDEX\n\nARCHITECTURAL\n"), "body").alias("text"))
 
@@ -381,11 +386,15 @@ kept AS (SELECT * FROM good g WHERE (SELECT count(*) FROM good h WHERE h.pdf_fil
 
 
 @query("learn_templates", f"""WITH {_GOOD}
-SELECT k.pdf_filename, p.pages_analyzed, count(*) AS quality_pages_used, CAST(min(length(t)) AS INTEGER) AS typical_length_min, CAST(max(length(t)) AS INTEGER) AS typical_length_max
-FROM kept k JOIN (SELECT pdf_filename, count(*) AS pages_analyzed FROM sheets GROUP BY ALL) p USING (pdf_filename) GROUP BY ALL HAVING count(*) >= 5""")
+SELECT k.pdf_filename, p.pages_analyzed, count(*) AS quality_pages_used, CAST(min(length(t)) AS INTEGER) AS typical_length_min, CAST(max(length(t)) AS INTEGER) AS typical_length_max, any_value(x.more) AS more
+FROM kept k JOIN (SELECT pdf_filename, count(*) AS pages_analyzed FROM sheets GROUP BY ALL) p USING (pdf_filename)
+LEFT JOIN (SELECT pdf_filename, string_agg(regexp_replace(t, '([^A-Za-z0-9_])', '\\\\\\1', 'g'), '|' ORDER BY first) AS more
+  FROM (SELECT pdf_filename, sheet_title AS t, min(page_number) AS first FROM sheets WHERE needs_review = 1 AND sheet_title <> '' GROUP BY ALL HAVING count(*) >= 3) GROUP BY ALL) x USING (pdf_filename)
+GROUP BY k.pdf_filename, p.pages_analyzed HAVING count(*) >= 5""")
 def learn_templates(spark, sf_dir):
     """O-AGG-7, O-AGG-9, O-AGG-8."""
-    return learn.learn_templates(fixtures.sheets(spark, sf_dir)).select("pdf_filename", "pages_analyzed", "quality_pages_used", "typical_length_min", "typical_length_max")
+    more = F.nullif(F.array_join(F.slice("exclusion_patterns", len(fixed.STANDARD_EXCLUSIONS) + 1, 1 << 20), "|"), F.lit(""))
+    return learn.learn_templates(fixtures.sheets(spark, sf_dir)).select("pdf_filename", "pages_analyzed", "quality_pages_used", "typical_length_min", "typical_length_max", more.alias("more"))
 
 
 @query("neighbours", """SELECT s.pdf_filename, s.page_number, CASE n.c WHEN 2 THEN 0.8 WHEN 1 THEN 0.7 END::DOUBLE AS base FROM sheets s LEFT JOIN (
@@ -461,14 +470,15 @@ def queue_statistics(spark, sf_dir):
     return review.queue_statistics(fixtures.sheets(spark, sf_dir).select((F.col("needs_review") == 1).alias("reviewed"), F.pmod("o_orderkey", F.lit(3)).alias("priority")))
 
 
-@query("suggested_words", """WITH t AS (SELECT pdf_filename AS category, upper(sheet_title) AS title FROM sheets WHERE sheet_title IS NOT NULL AND o_orderkey % 97 = 0),
+@query("suggested_words", """WITH t AS (SELECT substr(sheet_number, 1, 1) || o_orderkey % 12 AS category, upper(sheet_title) AS title FROM sheets WHERE sheet_title IS NOT NULL AND sheet_number IS NOT NULL),
 c AS (SELECT category, count(*) AS titles FROM t GROUP BY ALL HAVING count(*) >= 2),
 w AS (SELECT category, regexp_replace(w, '[^A-Z0-9]', '', 'g') AS w FROM (SELECT category, unnest(string_split(title, ' ')) AS w FROM t) WHERE length(regexp_replace(w, '[^A-Z0-9]', '', 'g')) >= 3)
 SELECT category, titles, string_agg(w, ' ' ORDER BY w) AS words FROM (SELECT category, titles, w, count(*) AS n FROM w JOIN c USING (category) GROUP BY ALL) WHERE n >= titles * 0.6 GROUP BY ALL""")
 def suggested_words(spark, sf_dir):
     """O-AGG-16."""
-    d = fixtures.sheets(spark, sf_dir).where("sheet_title is not null").where(F.pmod("o_orderkey", F.lit(97)) == 0)
-    return review.suggested_words(d.select(F.col("pdf_filename").alias("category"), F.col("sheet_title").alias("title")))
+    d = fixtures.sheets(spark, sf_dir).where("sheet_title is not null and sheet_number is not null")
+    category = F.concat(F.substring("sheet_number", 1, 1), F.pmod("o_orderkey", F.lit(12)).cast("string"))
+    return review.suggested_words(d.select(category.alias("category"), F.col("sheet_title").alias("title")))
 
 
 _CMP = """c AS (SELECT t.pdf_filename, upper(trim(coalesce(s.sheet_number, ''))) AS a, upper(trim(coalesce(t.true_number, ''))) AS b, upper(trim(coalesce(s.sheet_title, ''))) AS x, upper(trim(coalesce(t.true_title, ''))) AS y

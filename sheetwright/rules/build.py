@@ -7,7 +7,7 @@ compiles a literal pattern once.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,3 +43,8 @@ def lookup(x: Column, table: Mapping, default=None) -> Column:
 def categories() -> dict[str, dict]:
     """Base categories, then the expanded ones."""
     return {**fixed.SHEET_CATEGORIES, **fixed.EXPANDED_CATEGORIES}
+
+
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is settled once, however often ``f`` names it; long expressions stay small in generated code."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))

@@ -275,3 +275,35 @@ PAINTING_INDICATORS = [
 NON_PROJECT_PATTERNS = [
     r"^B\d+-\d+\s+Build-out", r"^\d+\s+sf\s+", r"^New Tenant Improvement$", r"^\d{4,}\s+\w+\s+(Road|Street|Ave|Blvd)", r"^(N|S|E|W)\d+\w*\d+\s+",
 ]
+
+#: Drawing indexes: lines to skip, separators and the form of an entry, titles that are looked for in running text, repairs of numbers.
+INDEX_PREAMBLE = ["THE FOLLOWING SHEETS", "COMPLETE SET", "CONSTRUCTION DOCUMENTS", "COVERSHEET", "COVER SHEET", "THIS SET", "THIS DOCUMENT", "ALL DRAWINGS"]
+INDEX_SEPARATORS = ["\t", "    ", "   ", "  ", " - ", " – ", " — "]
+INDEX_RAW_NUMBER = r"[A-Za-z]{1,2}[-.]?[0-9OoIlzZ\}\]\|]{1,3}(?:[-.]?[0-9OoIlzZ\}\]\|]{1,2})?"
+INDEX_NUMBER = r"^[A-Z]{1,2}[-.]?\d{1,3}(?:[-.]\d{1,2})?$"
+INDEX_TITLES = [
+    r"CODE\s+REVIEW[,\s]+SCHEDULES?\s+AND\s+ADA\s+REQUIREMENTS?", r"REFLECTED\s+CEILING\s+PLAN", r"DEMOLITION\s+FLOOR\s+PLAN", r"ENLARGED\s+FLOOR\s+PLAN",
+    r"LIFE\s+SAFETY\s+PLAN", r"FLOOR\s+PLAN", r"CEILING\s+PLAN", r"ROOF\s+PLAN", r"SITE\s+PLAN", r"FOUNDATION\s+PLAN",
+    r"ELEVATION[S]?", r"SECTION[S]?", r"DETAIL[S]?", r"SCHEDULE[S]?", r"NOTES?", r"SPECIFICATIONS?", r"PLAN",
+]
+INDEX_PREFIX_FIXES = {"AZ": "A2.", "DZ": "D2.", "SZ": "S2.", "MZ": "M2."}
+INDEX_CHAR_FIXES = {"O": "0", "I": "1", "|": "1", "Z": "2", "}": "1", "]": "1", "{": "1", "[": "1", "S": "5", "B": "8"}
+
+#: Sheet numbers in text: their form, labels on the same line, cut labels, labels at a line's end, numbers of title sheets.
+NUMBER_VALUE = r"([A-Z]{1,2}[-.]?\d{1,3}(?:\.\d{1,2})?)"
+NUMBER_LABELS = [
+    r"SHEET\s*NUMBER\s*[:\s]*", r"SHEET\s*NO\.?\s*[:\s]*", r"SHEET\s*#\s*[:\s]*", r"DWG\s*NO\.?\s*[:\s]*", r"DRAWING\s*NO\.?\s*[:\s]*", r"SHEET\s*[:\s]+",
+    r"EET\s*NO\.?\s*[:\s]*", r"(?<![A-Z])NO\.?\s*[:\s]+",
+]
+NUMBER_LINE_ENDS = [r"(?:SHEET|DWG|DRAWING)\s*(?:NO\.?|NUMBER|#)?\s*:?\s*$", r"(?:EET|NO\.?)\s*:?\s*$"]
+TITLE_SHEET_NUMBER = r"\b(T[-.]?\d{1,2}(?:\.\d{1,2})?)\b"
+
+#: Words that stay lower within titles; labels that are no titles; a cover's title.
+SMALL_WORDS = ["and", "or", "the", "a", "an", "of", "for", "to", "in", "on", "at", "by", "with"]
+BARE_TITLE_LABELS = ["TITLE", "SHEET TITLE", "DRAWING TITLE"]
+COVER_TITLE = "TITLE SHEET"
+
+#: Numbers that only look like project numbers: years, and what stands around street, phone and postal numbers.
+YEARS = ["2018", "2019", "2020", "2021", "2022", "2023", "2024", "2025", "2026", "2027", "2028", "2029", "2030"]
+STREETS = [r"S\.?\s+WOLF", r"N\.?\s+\w+", r"ARMOU?R", r"LINCOLN", r"\s+(?:ROAD|RD|STREET|ST|AVENUE|AVE|BLVD|BOULEVARD|DRIVE|DR|WAY|LANE|LN|HIGHWAY|HWY)"]
+STREET_ADDRESS = r"\s+[NSEW]?\.?\s*\w+\s+(ROAD|RD|STREET|ST|AVE|AVENUE|BLVD|DR|DRIVE|WAY|LN|LANE|HWY|HIGHWAY)"

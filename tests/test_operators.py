@@ -1,11 +1,14 @@
 """Operators on small fixtures."""
 
+import difflib
 import json
+import random
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sheetwright.functions import numbers, text
 from sheetwright.operators import classify, index, learn, profiles, store
 from sheetwright.sources import readers
 from sheetwright.streaming import ingest
@@ -36,9 +39,57 @@ def test_index(spark):
 
 def test_lookup(spark):
     keys = spark.createDataFrame([("p", "A1.0", "one", 1), ("p", "D20", "two", 2), ("p", "M1001", "three", 3)], "pdf_filename string, sheet_number string, title string, ord int")
-    asked = spark.createDataFrame([("p", "A1.0"), ("p", "A10"), ("p", "M1O01"), ("p", "Z999"), ("p", None)], "pdf_filename string, sheet_number string")
+    asked = spark.createDataFrame([("p", "A1.0"), ("p", "A10"), ("p", "M1O01"), ("p", "AM1.0"), ("p", "Z999"), ("p", None)], "pdf_filename string, sheet_number string")
     got = {r.sheet_number: (r.index_title, r.index_step) for r in index.lookup_titles(asked, keys).collect()}
-    assert got == {"A1.0": ("one", "exact"), "A10": ("one", "variant"), "M1O01": ("three", "similar"), "Z999": (None, None), None: (None, None)}
+    assert got == {"A1.0": ("one", "exact"), "A10": ("one", "variant"), "M1O01": ("three", "variant"), "AM1.0": ("one", "similar"), "Z999": (None, None), None: (None, None)}
+
+
+def test_similar_keys_are_those_of_plain_ratios(spark):
+    """Numbers of 1 to 14 characters, ties among them, against every key by difflib."""
+    r = random.Random(3)
+    made = lambda: r.choice("AMSE") + r.choice(["", "-", "."]) + "".join(r.choice("0123") for _ in range(r.randint(0, 6))) + r.choice(["", ".1", ".25", "-OLD", "-REVISED"])
+    keys, asked = list(dict.fromkeys(made() for _ in range(150))), {made() for _ in range(150)}
+    want = {}
+    for a in asked:
+        best, title = 0.0, None
+        for k in keys:
+            q = difflib.SequenceMatcher(None, a, k).ratio()
+            if q > best and q >= 0.80:
+                best, title = q, f"t{k}"
+        if title:
+            want[a] = title
+    index_ = spark.createDataFrame([("p", k, f"t{k}", i) for i, k in enumerate(keys)], "pdf_filename string, sheet_number string, title string, ord int")
+    got = index.similar_keys(spark.createDataFrame([("p", a, a) for a in asked], "pdf_filename string, _n string, _p string"), index_)
+    assert {x._n: x.title for x in got.collect()} == want and len(want) > 50
+
+
+def test_index_in_running_text(spark):
+    page = "SHEET INDEX A20 FLOOR PLAN Az2 REFLECTED CEILING PLAN A3.O DETAILS"
+    lines = "DRAWING INDEX\nA1.01 - PLAN ONE\nA2.0: ELEVATIONS\nA3\tDETAILS -\nA4 \u2014 ROOF PLAN\nof the barn"
+    d = spark.createDataFrame([("q", 2, page), ("p", 1, lines), ("r", 1, "A20 FLOOR PLAN")], "pdf string, page int, text string")
+    got = {(x.pdf, x.sheet_number): x.title for x in index.parse_index(d).collect()}
+    assert got == {("q", "A20"): "FLOOR PLAN", ("q", "A2.2"): "REFLECTED CEILING PLAN", ("q", "A3.0"): "DETAILS", ("p", "A1.01"): "PLAN ONE", ("p", "A3"): "DETAILS", ("p", "A4"): "ROOF PLAN of the barn"}
+
+
+NUMBERS = {
+    "SEE DRAWING INDEX FOR LIST\nSHEET NO: A101": "A101", "SHEET A101": "A101", "SHEET NO:\nA101 REV 2": "A101", "DWG NO.:\n\nE1.1 X": "E1.1", "EET\nA5": "A5", "plain prose": None,
+    "ANSI Z97.1 requirements\nA002": "A002", "NO\n\n\nB1.2": "B1.2", "Some text\nSHEET NO: A1.1\nMore text": "A1.1", "DWG NO: E1.1": "E1.1", "SHEET NO: A-1.1": "A-1.1", "": None, None: None,
+    "DRAWING INDEX: A1.0 PLAN\nSHEET NO: Z9": None,
+}
+
+
+def test_numbers_from_text(spark):
+    d = spark.createDataFrame([(t,) for t in NUMBERS], "t string")
+    assert {r.t: r.n for r in d.select("t", numbers.number_from_text(F.col("t")).alias("n")).collect()} == NUMBERS
+
+
+def test_strings(spark):
+    d = spark.createDataFrame([("a b(c)", "A1.OFFICE 2.OTHER A1.O", "Floor Plan No.", "ABC1", " - TITLE", ": the  plan -")], "a string, b string, c string, e string, f string, g string")
+    r = d.select(
+        F.rlike("a", text.quoted(F.col("a"))), text.repair_zero(F.col("b")), text.safe_filename(F.col("c"), 50), numbers.candidate_shape(F.col("e")), text.clean_title(F.col("f")), text.clean_title(F.col("g")),
+        numbers.title_sheet_number(F.lit("cover T-1234 t1.1 T2")), numbers.false_project(F.lit("2024"), F.lit("x")), numbers.false_project(F.lit("4321"), F.lit("4321 N. MAIN ST")), numbers.false_project(F.lit("20-117"), F.lit("job 20-117")),
+    ).first()
+    assert tuple(r) == (True, "A1.OFFICE 2.OTHER A1.0", "Floor_Plan_No.", True, None, "the plan", "T1.1", True, True, False)
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
