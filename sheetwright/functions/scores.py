@@ -94,3 +94,28 @@ def consensus(cv: Column, majority: Column, hough: Column, strategy: str = "medi
         .when(raw > 0.10, out(F.array_max(all_), F.lit("consensus_conservative_high_spread"), raw, spread_confidence(raw)))
         .otherwise(out(picked, F.lit(f"consensus_{strategy}"), spread, spread_confidence(spread)))
     )
+
+
+def final_border(coarse: Column, coarse_confidence: Column, coarse_method: Column, refined: Column, refined_confidence: Column, strategy: str = "balanced") -> Column:
+    """(x1, width, method, confidence) of a border from a coarse and a refined estimate; null estimates are missing ones.
+
+    A coarse estimate of 0.95 or more, and the strategy coarse_only, need no
+    refinement. Without any estimate the border stands at 0.85, confidence 0.
+    """
+    least, most = F.least(coarse, refined), F.greatest(coarse, refined)
+    x = {"balanced": least, "conservative": most, "aggressive": least, "include_all": coarse}.get(strategy, coarse)
+    use = coarse.isNotNull() & refined.isNotNull() & (F.coalesce(coarse_confidence, F.lit(0.0)) < 0.95) if strategy != "coarse_only" else F.lit(False)
+    wanted = F.coalesce(coarse_confidence, F.lit(0.0)) < 0.95 if strategy != "coarse_only" else F.lit(False)
+    both = (F.coalesce(coarse_confidence, F.lit(0.5)) + F.coalesce(refined_confidence, F.lit(0.5))) / 2 if strategy in ("conservative", "aggressive") else F.lit(0.5)
+    out = lambda x1, method, c: F.struct(x1.cast("double").alias("x1"), (1 - x1).cast("double").alias("width"), method.alias("method"), c.cast("double").alias("confidence"))
+    return (
+        F.when(coarse.isNull(), out(F.lit(0.85), F.lit("no_images"), F.lit(0.0)))
+        .when(use, out(x, F.lit(strategy), both))
+        .when(wanted, out(coarse, F.lit("coarse_fallback"), F.lit(0.5)))
+        .otherwise(out(coarse, coarse_method, F.when(coarse_method == "coarse", F.coalesce(coarse_confidence, F.lit(0.7))).otherwise(0.5)))
+    )
+
+
+def global_x(crop_start: Column, crop_width: Column, x: Column, page_width: Column) -> Column:
+    """A fraction of a crop's width as a fraction of the page's."""
+    return (crop_start + x * crop_width) / page_width

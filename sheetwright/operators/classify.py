@@ -143,3 +143,38 @@ def statistics(d: DataFrame) -> DataFrame:
         F.transform("categories", lambda c: F.struct(F.lit("category").alias("kind"), F.coalesce(c, F.lit("")).alias("name"))),
     )
     return d.select(F.explode(names).alias("x")).groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
+
+
+def set_statistics(d: DataFrame) -> DataFrame:
+    """(pdf_filename, total, matched, not_needed, unclassified): each set's sheets by legacy type."""
+    kinds = ("matched", "not_needed", "unclassified")
+    return legacy_type(d).groupBy("pdf_filename").agg(F.count("*").alias("total"), *[F.count_if(F.col("classification") == k).alias(k) for k in kinds])
+
+
+def summary(d: DataFrame) -> DataFrame:
+    """What is reported of a classified sheet."""
+    return d.select(
+        "sheet_number", "sheet_title", "decision", F.get("categories", F.lit(0)).alias("primary_category"), "relevance", F.format_string("%.2f", F.col("confidence")).alias("confidence"),
+        F.col("is_combo").alias("is_combo_page"), "needs_review", "review_reason", F.size("signals").alias("signal_count"),
+    )
+
+
+def serialised(d: DataFrame) -> DataFrame:
+    """A classified sheet as one JSON text: (pdf_filename, page_number, classification)."""
+    own = ("sheet_number", "sheet_title", "categories", "signals", "relevance", "confidence", "is_combo", "has_conflict", "severity", "decision", "needs_review", "review_reason")
+    return d.select("pdf_filename", "page_number", F.to_json(F.struct(*own)).alias("classification"))
+
+
+def painting_relevant(relevance: Column) -> Column:
+    return relevance.isin("PRIMARY", "SECONDARY")
+
+
+def legacy_matches(number: Column, title: Column) -> Column:
+    """(categories, classification) by patterns alone: those of the title first, then those of the number, a category once; else not needed; else unclassified."""
+    base = {k: v for k, v in fixed.SHEET_CATEGORIES.items()}
+    found = lambda x, which: [F.when(F.coalesce(matches_any(x, c[which]), F.lit(False)), F.lit(k)) for k, c in base.items() if c.get(which)]
+    n = F.upper(strip(number))
+    matched = F.array_distinct(F.array_compact(F.array(*found(title, "title"), *found(n, "number"))))
+    not_needed = F.coalesce(matches_any(title, fixed.NOT_NEEDED_TITLE), F.lit(False)) | F.coalesce(matches_any(n, fixed.NOT_NEEDED_NUMBER), F.lit(False))
+    out = lambda c, k: F.struct(c.alias("categories"), F.lit(k).alias("classification"))
+    return F.when(F.size(matched) > 0, out(matched, "matched")).when(not_needed, out(F.array(F.lit(fixed.NOT_NEEDED)), "not_needed")).otherwise(out(F.array(F.lit("unclassified_may_be_needed")), "unclassified"))

@@ -55,14 +55,36 @@ def candidate_ok(text: Column, t: Column) -> Column:
     return (text != "") & ~excluded & F.length(text).between(least, most) & ~text.rlike(r"^\d+$") & ~text.rlike(r"(?i)^[A-Z]{1,2}[-.]?\d{1,4}(\.\d{1,2})?$")
 
 
-def apply_template(text: Column, t: Column) -> Column:
-    """(title, confidence): the first line with a keyword (0.75), else the first that may be a title (0.65)."""
-    lines = F.filter(F.transform(F.split(text, "\n"), strip), lambda x: candidate_ok(x, t))
-    keyed = F.filter(lines, lambda x: F.upper(x).rlike("|".join(fixed.QUALITY_KEYWORDS)))
-    return (
+def _keyed(x: Column) -> Column:
+    return F.upper(x).rlike("|".join(fixed.QUALITY_KEYWORDS))
+
+
+def block_score(text: Column, font_size: Column) -> Column:
+    """How well a block fits a title: up to 1 for its font size by 20, 2 for a keyword, up to 1 for its length."""
+    n = F.length(text)
+    font = F.when(font_size > 0, F.least(font_size / 20.0, F.lit(1.0))).otherwise(0.0)
+    return font + F.when(_keyed(text), 2.0).otherwise(0.0) + F.when(n.between(15, 40), 1.0).when(n.between(10, 50), 0.5).otherwise(0.0)
+
+
+def apply_to_blocks(blocks: Column, t: Column) -> Column:
+    """(title, confidence 0.85): the block that may be a title under a template with the best score, the first of equals; null if none.
+
+    ``blocks``: array of structs with text and font_size.
+    """
+    stripped = F.transform(F.coalesce(blocks, F.array()), lambda b, i: F.struct(strip(b["text"]).alias("text"), F.coalesce(b["font_size"], F.lit(0.0)).cast("double").alias("size"), i.alias("i")))
+    scored = F.transform(F.filter(stripped, lambda b: candidate_ok(b["text"], t)), lambda b: F.struct(block_score(b["text"], b["size"]).alias("score"), (-b["i"]).alias("i"), b["text"].alias("text")))
+    return F.when(F.size(scored) > 0, F.struct(F.array_max(scored)["text"].alias("title"), F.lit(0.85).alias("confidence")))
+
+
+def apply_template(text: Column, t: Column, blocks: Column | None = None) -> Column:
+    """(title, confidence): the best block if there are blocks, else the first line with a keyword (0.75), else the first line that may be a title (0.65)."""
+    lines = F.filter(F.transform(F.split(strip(text), "\n"), strip), lambda x: candidate_ok(x, t))
+    keyed = F.filter(lines, _keyed)
+    by_line = (
         F.when(F.size(keyed) > 0, F.struct(F.get(keyed, F.lit(0)).alias("title"), F.lit(0.75).alias("confidence")))
         .when(F.size(lines) > 0, F.struct(F.get(lines, F.lit(0)).alias("title"), F.lit(0.65).alias("confidence")))
     )
+    return by_line if blocks is None else F.coalesce(apply_to_blocks(blocks, t), by_line)
 
 
 def keyword_line(text: Column) -> Column:
@@ -72,27 +94,55 @@ def keyword_line(text: Column) -> Column:
 
 
 def neighbour_base(d: DataFrame) -> DataFrame:
-    """Adds base: 0.80 if the pages before and after succeeded, 0.70 if one did, else null.
+    """Adds base (0.80 if the pages before and after succeeded, 0.70 if one did, else null) and, where there is a title_method, reference_method.
 
     Neighbours are the rows of the exact page numbers. Each successful row
     is counted for both its neighbours in one aggregate and joined back, so a
-    gap in page numbers never matches.
+    gap in page numbers never matches. The reference method is that of the
+    more confident neighbour, of equal ones that of the page before.
     """
-    good = d.where((F.coalesce("needs_review", F.lit(0)) != 1) & (F.coalesce("sheet_title", F.lit("")) != "")).select("pdf_filename", "page_number").distinct()
-    near = good.select("pdf_filename", F.explode(F.array(F.col("page_number") - 1, F.col("page_number") + 1)).alias("page_number"))
-    near = near.groupBy("pdf_filename", "page_number").agg(F.count("*").alias("_near"))
+    with_method = "title_method" in d.columns and "title_confidence" in d.columns
+    good = d.where((F.coalesce("needs_review", F.lit(0)) != 1) & (F.coalesce("sheet_title", F.lit("")) != ""))
+    good = good.select("pdf_filename", "page_number", *(["title_method", "title_confidence"] if with_method else [])).dropDuplicates(["pdf_filename", "page_number"])
+    side = F.explode(F.array(*[F.struct((F.col("page_number") + k).alias("page"), F.lit(k).alias("side")) for k in (-1, 1)]))
+    near = good.withColumn("_to", side).groupBy("pdf_filename", F.col("_to.page").alias("page_number"))
+    near = near.agg(F.count("*").alias("_near"), *([F.max_by("title_method", F.struct(F.coalesce("title_confidence", F.lit(0.0)), "_to.side")).alias("reference_method")] if with_method else []))
     return d.join(near, ["pdf_filename", "page_number"], "left").withColumn("base", F.when(F.col("_near") == 2, 0.80).when(F.col("_near") == 1, 0.70)).drop("_near")
 
 
+def _with_templates(d: DataFrame, templates: DataFrame) -> DataFrame:
+    t = templates.select("pdf_filename", F.struct(*[c for c in templates.columns if c != "pdf_filename"]).alias("_t"))
+    return d.join(t, "pdf_filename", "left")
+
+
+def sibling_inference(d: DataFrame, templates: DataFrame | None = None) -> DataFrame:
+    """Adds inferred (title, confidence) for rows whose neighbours succeeded; null for the others.
+
+    With a template of its PDF a row's title has the lesser of the
+    neighbours' base and the template's confidence, else the first line with
+    a keyword has 0.8 times the base.
+    """
+    d = neighbour_base(d)
+    d = _with_templates(d, templates) if templates is not None else d.withColumn("_t", F.lit(None))
+    made = F.lit(None)
+    if templates is not None:
+        a = apply_template(F.col("text"), F.col("_t"), F.col("blocks") if "blocks" in d.columns else None)
+        d = d.withColumn("_a", F.when(F.col("_t").isNotNull(), a))
+        made = F.when(F.col("_a").isNotNull(), F.struct(F.col("_a.title").alias("title"), F.least("base", "_a.confidence").alias("confidence")))
+    line = keyword_line(F.col("text"))
+    by_line = F.when(line.isNotNull(), F.struct(line.alias("title"), (F.col("base") * 0.8).alias("confidence")))
+    return d.withColumn("inferred", F.when(F.col("base").isNotNull(), F.coalesce(made, by_line))).drop("_t", "_a")
+
+
 def rescue(d: DataFrame, templates: DataFrame) -> DataFrame:
     """Titles for failed rows from the template, else from neighbours; accepted from 0.60, review cleared from 0.80.
 
     One pass over a snapshot: rescued rows don't count as good neighbours of
     later ones.
     """
-    t = templates.select("pdf_filename", F.struct(*[c for c in templates.columns if c != "pdf_filename"]).alias("_t"))
     failed = (F.col("needs_review") == 1) | (F.coalesce(F.trim("sheet_title"), F.lit("")) == "")
-    d = neighbour_base(d).join(t, "pdf_filename", "left").withColumn("_a", F.when(failed & F.col("_t").isNotNull(), apply_template(F.col("text"), F.col("_t"))))
+    blocks = F.col("blocks") if "blocks" in d.columns else None
+    d = _with_templates(neighbour_base(d), templates).withColumn("_a", F.when(failed & F.col("_t").isNotNull(), apply_template(F.col("text"), F.col("_t"), blocks)))
     d = d.withColumn("_line", F.when(failed & F.col("base").isNotNull(), keyword_line(F.col("text"))))
     got = (
         F.when(F.col("_a").isNotNull(), F.struct(F.col("_a.title").alias("title"), F.col("_a.confidence").alias("confidence"), F.lit("template").alias("method")))
@@ -104,7 +154,7 @@ def rescue(d: DataFrame, templates: DataFrame) -> DataFrame:
         "title_confidence": F.when(F.col("_ok"), F.col("_got.confidence")).otherwise(F.col("title_confidence")),
         "rescued_by": F.when(F.col("_ok"), F.col("_got.method")),
         "needs_review": F.when(F.col("_ok") & (F.col("_got.confidence") >= 0.80), 0).otherwise(F.col("needs_review")),
-    }).drop("_t", "_a", "_line", "_got", "_ok", "base")
+    }).drop("_t", "_a", "_line", "_got", "_ok", "base", "reference_method")
 
 
 def project_fallback(d: DataFrame, share: float = 0.6) -> DataFrame:

@@ -21,8 +21,13 @@ def agreement(pixels: DataFrame, pages: int, ratio: float = 0.6) -> DataFrame:
 
 
 def smoothed(p: DataFrame, before: int = 5, after: int = 4) -> DataFrame:
-    """Moving average; the window is cut at the ends."""
-    return p.withColumn("s", F.avg("v").over(Window.partitionBy("id").orderBy("x").rowsBetween(-before, after)))
+    """Adds s, the moving average; beyond its ends a profile goes on in its own mirror image, the end column first."""
+    width = F.max("x").over(Window.partitionBy("id")) + 1
+    d = p.withColumn("_n", width)
+    at = F.array_compact(F.array(F.col("x"), F.when(F.col("x") < before, -1 - F.col("x")), F.when(F.col("x") >= F.col("_n") - after, 2 * F.col("_n") - 1 - F.col("x"))))
+    d = d.withColumn("_at", F.explode(at))
+    d = d.withColumn("s", F.avg("v").over(Window.partitionBy("id").orderBy("_at").rowsBetween(-before, after)))
+    return d.where(F.col("_at") == F.col("x")).drop("_n", "_at")
 
 
 def noise_level(p: DataFrame, share: float = 0.95) -> DataFrame:
@@ -78,3 +83,91 @@ def clusters(lines: DataFrame, tolerance: float = 0.01) -> DataFrame:
 
     d = lines.groupBy("id").agg(F.sort_array(F.collect_list("pos")).alias("all"))
     return d.select("id", F.explode(F.aggregate("all", zero, step)).alias("c")).select("id", (F.col("c.total") / F.col("c.n")).alias("mean"), F.col("c.n").alias("n"))
+
+
+def cluster_summary(lines: DataFrame) -> DataFrame:
+    """(id, cluster, mean, least, most, total_length, max_length, segments) of lines (id, cluster, pos, length)."""
+    return lines.groupBy("id", "cluster").agg(
+        F.avg("pos").alias("mean"), F.min("pos").alias("least"), F.max("pos").alias("most"), F.sum("length").alias("total_length"), F.max("length").alias("max_length"), F.count("*").alias("segments"))
+
+
+def rightmost_long_line(lines: DataFrame, least: float = 0.7, near: float = 0.015, agree: int = 2) -> DataFrame:
+    """(id, x): the rightmost position, rounded to hundredths, that ``agree`` long lines or more stand within ``near`` of.
+
+    A line is counted at the few hundredths around it, so lines are joined
+    to positions by key.
+    """
+    long = lines.where(F.col("length") > least)
+    at = F.round(F.col("pos"), 2)
+    places = long.select("id", (at * 100).cast("long").alias("k")).distinct()
+    reach = int(near * 100) + 1
+    votes = long.select("id", "pos", F.explode(F.sequence((at * 100).cast("long") - reach, (at * 100).cast("long") + reach)).alias("k"))
+    votes = votes.where(F.abs(F.col("pos") - F.col("k") / 100) < near).groupBy("id", "k").agg(F.count("*").alias("n"))
+    return places.join(votes, ["id", "k"]).where(F.col("n") >= agree).groupBy("id").agg((F.max("k") / 100).alias("x"))
+
+
+def refined_border(estimates: DataFrame) -> DataFrame:
+    """(id, x1, spread, confidence, method, n) of the borders that several pages gave: their median, surer the nearer they lie."""
+    d = estimates.where("x1 is not null").groupBy("id").agg(F.median("x1").alias("x1"), (F.max("x1") - F.min("x1")).alias("spread"), F.count("*").alias("n"))
+    one = F.col("n") == 1
+    confidence = F.when(one, 0.7).when(F.col("spread") < 0.02, 0.95).when(F.col("spread") < 0.05, 0.80).otherwise(0.60)
+    return d.select("id", "x1", "spread", confidence.alias("confidence"), F.when(one, "ai_vision_single").otherwise("ai_vision_multi").alias("method"), "n")
+
+
+def dense_start(p: DataFrame, share: float = 0.3) -> DataFrame:
+    """(id, x): the first column of the right half whose value is above a share of the mean of that half's last tenth."""
+    w = p.groupBy("id").agg((F.max("x") + 1).alias("w"))
+    d = p.join(w, "id").withColumn("start", F.floor(F.col("w") * 0.5)).where(F.col("x") >= F.col("start"))
+    last = F.col("x") >= F.col("w") - F.floor((F.col("w") - F.col("start")) * 0.1)
+    mean = d.groupBy("id").agg(F.avg(F.when(last, F.col("v"))).alias("mean"))
+    return d.join(mean, "id").where(F.col("v") > F.col("mean") * F.lit(share)).groupBy("id").agg(F.min("x").alias("x"))
+
+
+def strong_columns(p: DataFrame, height: float, share: float, start: float = 0.0, stop: float = 1.0) -> DataFrame:
+    """(id, n, first, last) of the columns between two fractions of the width whose count is above a share of the height."""
+    w = p.groupBy("id").agg((F.max("x") + 1).alias("w"))
+    d = p.join(w, "id").where((F.col("x") >= F.floor(F.col("w") * F.lit(start))) & (F.col("x") < F.floor(F.col("w") * F.lit(stop))) & (F.col("v") > F.lit(share * height)))
+    return d.groupBy("id").agg(F.count("*").alias("n"), F.min("x").alias("first"), F.max("x").alias("last"))
+
+
+def steady_box(pixels: DataFrame, share: float = 0.10) -> DataFrame:
+    """(id, x0, y0, x1, y1): the box of the pixels that vary least over a set's pages, from (id, page, x, y, v)."""
+    v = pixels.groupBy("id", "x", "y").agg(F.var_pop("v").alias("var"))
+    cut = v.groupBy("id").agg(F.percentile("var", share).alias("cut"))
+    return v.join(cut, "id").where(F.col("var") <= F.col("cut")).groupBy("id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+
+
+def compared_methods(found: DataFrame, methods: list[str], near: float = 0.03) -> DataFrame:
+    """One row an id with each method's x1, how far they lie apart and whether they agree; from (id, method, x1)."""
+    d = found.groupBy("id").pivot("method", methods).agg(F.first("x1"))
+    xs = [F.col(f"`{m}`") for m in methods]
+    n = F.size(F.array_compact(F.array(*xs)))
+    spread = F.when(n >= 2, F.greatest(*xs) - F.least(*xs))
+    return d.withColumn("spread", spread).withColumn("agree", F.when(n >= 2, spread < near))
+
+
+def page_angles(segments: DataFrame) -> DataFrame:
+    """(page, angle, confidence, lines): whether a page is turned, from segments (page, x1, y1, x2, y2).
+
+    Below ten lines nothing is said. A page is turned by 90 degrees if lines
+    near the vertical are more than 1.5 times those near the horizontal.
+    """
+    a = F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")))
+    folded = F.abs(a) % 90
+    d = segments.groupBy("page").agg(
+        F.count("*").alias("lines"), F.count_if((F.abs(a - 90) < 10) | (F.abs(a + 90) < 10)).alias("up"), F.count_if(F.abs(a) < 10).alias("flat"), F.count_if((folded < 5) | (folded > 85)).alias("straight"))
+    few, turned = F.col("lines") < 10, F.col("up") > F.col("flat") * 1.5
+    return d.select("page", F.when(~few & turned, 90).otherwise(0).alias("angle"), F.when(few, 0.0).when(turned, F.col("up") / F.col("lines")).otherwise(F.col("straight") / F.col("lines")).alias("confidence"), "lines")
+
+
+def best_region(regions: DataFrame, density: float) -> DataFrame:
+    """(page, region, keywords, score, confidence): the region of each page with the best score of those with two keywords, the first of equals.
+
+    ``regions``: (page, ord, region, keywords, density) in order of search.
+    The score is the number of keywords, and a half for text denser than
+    ``density``. Pages without such a region get the default one.
+    """
+    d = regions.withColumn("score", F.col("keywords") + F.when(F.col("density") > F.lit(density), 0.5).otherwise(0.0))
+    best = d.groupBy("page").agg(F.max_by(F.when(F.col("keywords") >= 2, F.struct("region", "keywords", "score")), F.when(F.col("keywords") >= 2, F.struct("score", -F.col("ord")))).alias("b"))
+    return best.select("page", F.coalesce("b.region", F.lit("bottom_right_tight")).alias("region"), F.coalesce("b.keywords", F.lit(0)).alias("keywords"), F.coalesce("b.score", F.lit(0.0)).alias("score"),
+                       F.when(F.col("b").isNull(), "LOW").when(F.col("b.keywords") >= 3, "HIGH").otherwise("MEDIUM").alias("confidence"))

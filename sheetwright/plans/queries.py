@@ -214,7 +214,7 @@ def number_validity(spark, sf_dir):
     return _tried(spark, sf_dir).select("v", c["reason"].alias("reason"), c["ok"].alias("ok")).groupBy("v", "reason", "ok").agg(F.count("*").alias("n"))
 
 
-@query("number_candidates", f"""SELECT v, length(v) BETWEEN 2 AND 8 AND regexp_matches(v, '^[A-Z]{{1,2}}[-.]?[0-9]') AND length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 1 AND 3 AS fits, count(*) AS n FROM {_TRIED} GROUP BY ALL""")
+@query("number_candidates", f"""SELECT v, length(v) BETWEEN 2 AND 8 AND regexp_matches(v, '^[A-Z]') AND length(regexp_replace(v, '[^0-9]', '', 'g')) BETWEEN 1 AND 3 AS fits, count(*) AS n FROM {_TRIED} GROUP BY ALL""")
 def number_candidates(spark, sf_dir):
     """O-FLT-9."""
     return _tried(spark, sf_dir).groupBy("v", numbers.candidate_shape(F.col("v")).alias("fits")).agg(F.count("*").alias("n"))
