@@ -27,7 +27,8 @@ def query(name: str, sql: str | None = None, needs: str = "sheets"):
         if sql is not None:
             parts = [_WITH[n] for n in needs.split()]
             body = sql.strip()
-            ORACLE_SQL[name] = "WITH " + ",\n".join(parts) + (",\n" + body[5:] if body.startswith("WITH ") else "\n" + body)
+            start = "WITH RECURSIVE " if body.startswith("WITH RECURSIVE ") else "WITH "
+            ORACLE_SQL[name] = start + ",\n".join(parts) + (",\n" + body[len(start):] if body.startswith("WITH ") else "\n" + body)
         return f
 
     return register
@@ -161,22 +162,46 @@ def content_triggers(spark, sf_dir):
     return c.select("pdf_filename", "page_number", t["analyze"].alias("analyze"), t["priority"].alias("priority"))
 
 
-@query("organize_plan")
+_SAFE = lambda x, n: f"coalesce(nullif(regexp_replace(left(regexp_replace(regexp_replace(coalesce({x}, 'untitled'), '[<>:\"/\\\\|?*\\s]+', '_', 'g'), '^_+|_+$', '', 'g'), {n}), '_+$', ''), ''), 'untitled')"
+_FOLDERS = _list(k for k, v in categories().items() if v.get("folder"))
+
+
+@query("organize_plan", f"""WITH {_CLASSIFIED}
+SELECT pdf_filename, page_number, category, category || '/' || {_SAFE("regexp_replace(pdf_filename, '[.]pdf$', '')", 40)} || '_' || {_SAFE('n', 20)} || '_' || {_SAFE('t', 50)} || '.pdf' AS target
+FROM sums JOIN rows_ USING (id) WHERE category IN {_FOLDERS}""")
 def organize_plan(spark, sf_dir):
     """O-SINK-12, O-PROJ-12, O-SET-8, O-STR-9."""
     return sinks.organize_plan(_classified(spark, sf_dir))
 
 
-@query("classification_csv")
+_REPORTED = """reported AS (
+  SELECT f.id, f.pdf_filename, f.page_number, r.n AS sheet_number, r.t AS sheet_title, d.decision, f.relevance, f.confidence, f.is_combo, f.has_conflict, f.n AS signals, s.title_confidence,
+         c.categories, d.category AS top,
+         CASE WHEN d.decision = 'NEEDS_EVALUATION' THEN CASE WHEN f.has_conflict THEN 'Conflicting classification signals' WHEN f.confidence < 0.7 THEN printf('Low confidence (%.2f)', f.confidence)
+                WHEN f.is_combo THEN 'Combo page with multiple drawings' ELSE 'Classification uncertain' END
+              WHEN f.confidence < 0.7 THEN printf('Confidence below threshold (%.2f)', f.confidence) END AS review_reason,
+         CASE d.decision WHEN 'DEFINITELY_NEEDED' THEN 'matched' WHEN 'DEFINITELY_NOT_NEEDED' THEN 'not_needed' ELSE CASE WHEN d.category IS NULL THEN 'unclassified' ELSE 'matched' END END AS kind
+  FROM final f JOIN decided d USING (id) JOIN rows_ r USING (id) JOIN sheets s ON s.o_orderkey = f.id
+  LEFT JOIN (SELECT id, string_agg(category, ';' ORDER BY r) AS categories FROM ranked GROUP BY id) c ON c.id = f.id)"""
+
+
+@query("classification_csv", f"""WITH {_CLASSIFIED},
+{_REPORTED}
+SELECT pdf_filename AS pdf_name, page_number, sheet_number, sheet_title, decision, relevance, categories, kind AS classification_type,
+  CASE WHEN confidence <> 0 THEN printf('%.3f', confidence) ELSE '' END AS classification_confidence, '' AS number_confidence, CASE WHEN title_confidence <> 0 THEN printf('%.3f', title_confidence) ELSE '' END AS title_confidence,
+  is_combo AS is_combo_page, review_reason IS NOT NULL AS needs_review, coalesce(review_reason, '') AS review_reason
+FROM reported JOIN sums USING (id) WHERE category <> 'elevations'""")
 def classification_csv(spark, sf_dir):
-    """O-SINK-10, O-SORT-5/6."""
+    """O-SINK-10, O-SORT-5/6, O-PROJ-8, O-FLT-21."""
     return sinks.classification_csv(_classified(spark, sf_dir))
 
 
-@query("manifest")
+@query("manifest", f"""WITH {_CLASSIFIED}
+SELECT category, pdf_filename, count(*) AS n, string_agg(page_number || ':' || coalesce(n, ''), ';' ORDER BY page_number) AS pages FROM sums JOIN rows_ USING (id) WHERE category <> 'elevations' GROUP BY ALL""")
 def manifest(spark, sf_dir):
     """O-SINK-11."""
-    return sinks.manifest(_classified(spark, sf_dir))
+    shown = F.transform("pages", lambda p: F.concat(p["page_number"].cast("string"), F.lit(":"), F.coalesce(p["sheet_number"], F.lit(""))))
+    return sinks.manifest(_classified(spark, sf_dir)).select("category", "pdf_filename", F.size("pages").cast("long").alias("n"), F.array_join(shown, ";").alias("pages"))
 
 
 # -- numbers -----------------------------------------------------------------------
@@ -587,7 +612,9 @@ def first_sustained(spark, sf_dir):
     return profiles.first_sustained(_profile(spark, sf_dir), 0.0, 3)
 
 
-@query("smoothed", """SELECT vec_id AS id, x, round(avg(v) OVER (PARTITION BY vec_id ORDER BY x ROWS BETWEEN 5 PRECEDING AND 4 FOLLOWING), 9) + 0.0 AS s FROM profile""", "profile")
+@query("smoothed", """WITH w AS (SELECT vec_id, max(x) + 1 AS n FROM profile GROUP BY ALL)
+SELECT p.vec_id AS id, p.x, round(avg(q.v), 9) + 0.0 AS s FROM profile p JOIN w USING (vec_id), (SELECT unnest(range(-5, 5)) AS k) JOIN profile q ON q.vec_id = p.vec_id
+  AND q.x = CASE WHEN p.x + k < 0 THEN -1 - (p.x + k) WHEN p.x + k >= n THEN 2 * n - 1 - (p.x + k) ELSE p.x + k END GROUP BY ALL""", "profile")
 def smoothed(spark, sf_dir):
     """O-WIN-6."""
     return profiles.smoothed(_profile(spark, sf_dir)).select("id", "x", (F.round("s", 9) + 0.0).alias("s"))
@@ -623,10 +650,14 @@ def position_bins(spark, sf_dir):
     return profiles.position_bins(_profile(spark, sf_dir).withColumnRenamed("v", "pos")).select("id", F.round("x", 6).alias("x"))
 
 
-@query("clusters")
+@query("clusters", """WITH RECURSIVE o AS (SELECT vec_id AS id, v AS pos, row_number() OVER (PARTITION BY vec_id ORDER BY v) AS i FROM profile),
+f AS (SELECT id, i, pos AS total, 1 AS n, 1 AS cluster FROM o WHERE i = 1
+  UNION ALL SELECT f.id, o.i, CASE WHEN abs(o.pos - f.total / f.n) <= 0.01 THEN f.total + o.pos ELSE o.pos END, CASE WHEN abs(o.pos - f.total / f.n) <= 0.01 THEN f.n + 1 ELSE 1 END,
+    f.cluster + CASE WHEN abs(o.pos - f.total / f.n) <= 0.01 THEN 0 ELSE 1 END FROM f JOIN o ON o.id = f.id AND o.i = f.i + 1)
+SELECT id, round(arg_max(total, i), 4) + 0.0 AS total, CAST(max(n) AS INTEGER) AS n FROM f GROUP BY id, cluster""", "profile")
 def clusters(spark, sf_dir):
-    """O-WIN-9, O-AGG-22."""
-    return profiles.clusters(_profile(spark, sf_dir).withColumnRenamed("v", "pos"))
+    """O-WIN-9."""
+    return profiles.clusters(_profile(spark, sf_dir).withColumnRenamed("v", "pos")).select("id", (F.round(F.col("mean") * F.col("n"), 4) + 0.0).alias("total"), "n")
 
 
 # -- events ----------------------------------------------------------------------------------------
@@ -732,3 +763,6 @@ def rate_limited(spark, sf_dir):
     """O-WIN-12."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "user_id", "ts")
     return sinks.rate_limited(e).groupBy("user_id").agg(F.count("*").alias("calls"), F.count_if("waits").alias("waits"))
+
+
+from . import more  # noqa: E402, F401  registers the other queries
