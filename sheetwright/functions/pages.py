@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import fixed
+from ..rules.build import let
 from .text import strip
 
 _STOP = "(?:" + "|".join(fixed.TITLE_TERMINATORS) + ")"
@@ -33,14 +34,18 @@ def python_title(x: Column) -> Column:
 
 def multipart_title(raw: Column) -> Column:
     """Lines that aren't labels, joined by commas in title case, cut at the last comma within 100 characters; null if none."""
-    parts = F.transform(F.split(raw, "\n"), strip)
     label = "|".join(fixed.TITLE_PART_LABELS)
-    kept = F.filter(parts, lambda p: (F.length(p) >= 2) & ~F.upper(p).rlike(label))
-    t = F.regexp_replace(F.array_join(kept, ", "), r"\s+", " ")
-    t = F.regexp_replace(F.regexp_replace(t, r",\s*,", ","), r"\s*,\s*", ", ")
-    t = python_title(F.regexp_replace(t, r"^[ ,]+|[ ,]+$", ""))
-    cut = strip(F.regexp_replace(F.substring(t, 1, 100), r",[^,]*$", ""))
-    return F.nullif(F.when(F.length(t) > 100, cut).otherwise(t), F.lit(""))
+
+    def joined(r: Column) -> Column:
+        kept = F.filter(F.transform(F.split(r, "\n"), strip), lambda p: (F.length(p) >= 2) & ~F.upper(p).rlike(label))
+        t = F.regexp_replace(F.array_join(kept, ", "), r"\s+", " ")
+        t = F.regexp_replace(F.regexp_replace(t, r",\s*,", ","), r"\s*,\s*", ", ")
+        return python_title(F.regexp_replace(t, r"^[ ,]+|[ ,]+$", ""))
+
+    def cut(t: Column) -> Column:
+        return F.nullif(F.when(F.length(t) > 100, strip(F.regexp_replace(F.substring(t, 1, 100), r",[^,]*$", ""))).otherwise(t), F.lit(""))
+
+    return let(raw, lambda r: F.when(r.isNotNull(), let(joined(r), cut)))
 
 
 def title_from_text(text: Column, strict: bool = False) -> Column:
@@ -49,21 +54,30 @@ def title_from_text(text: Column, strict: bool = False) -> Column:
     Keywords are tried in their order, not by place in the text. In strict
     mode, for text read from images, only the keyword itself is taken.
     """
-    t = F.upper(F.regexp_replace(strip(text), r"[ \t]+", " "))
-    good = lambda x: F.when(F.length(x) >= 3, x)
-    tried = [good(multipart_title(F.nullif(F.regexp_extract(t, f"(?s){p}(.+?){_STOP}", 1), F.lit("")))) for p in fixed.TITLE_TEXT_LABELS]
-    keyword = F.lit(None).cast("string")
-    for p in reversed(fixed.TITLE_KEYWORD_ORDER):
-        # the text after a keyword runs to the end: the terminators end there too
-        whole = f"(?s)\\b({p})\\b" if strict else f"(?s)\\b({p})(.*)"
-        keyword = F.when(t.rlike(whole), F.concat_ws("\n", strip(F.regexp_extract(t, whole, 1)), *([] if strict else [F.nullif(strip(F.regexp_extract(t, whole, 2)), F.lit(""))]))).otherwise(keyword)
-    tried.append(good(multipart_title(keyword)))
-    tried.append(good(multipart_title(F.nullif(F.regexp_extract(t, rf"(?s)(?:IL|ILLINOIS)\s+\d{{5}}\s*\n+(.*?){_STOP}", 1), F.lit("")))))
-    found = F.coalesce(*tried)
-    if strict:
-        for word in ("Rcp", "Hvac", "Mep", "Ada"):
-            found = F.regexp_replace(found, rf"\b{word}\b", word.upper())
-    return F.when(~F.upper(strip(found)).isin(fixed.TITLE_LABELS), found)
+    good = lambda x: let(x, lambda y: F.when(F.length(y) >= 3, y))
+
+    def by_keyword(t: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for p in reversed(fixed.TITLE_KEYWORD_ORDER):
+            # the text after a keyword runs to the end: the terminators end there too
+            whole = f"(?s)\\b({p})\\b" if strict else f"(?s)\\b({p})(.*)"
+            found = F.concat_ws("\n", strip(F.regexp_extract(t, whole, 1)), *([] if strict else [F.nullif(strip(F.regexp_extract(t, whole, 2)), F.lit(""))]))
+            out = F.when(t.rlike(f"\\b(?:{p})\\b" if strict else f"\\b(?:{p})"), found).otherwise(out)
+        return out
+
+    def tried(t: Column) -> Column:
+        all_ = [good(multipart_title(F.nullif(F.regexp_extract(t, f"(?s){p}(.+?){_STOP}", 1), F.lit("")))) for p in fixed.TITLE_TEXT_LABELS]
+        all_.append(good(multipart_title(by_keyword(t))))
+        all_.append(good(multipart_title(F.nullif(F.regexp_extract(t, rf"(?s)(?:IL|ILLINOIS)\s+\d{{5}}\s*\n+(.*?){_STOP}", 1), F.lit("")))))
+        return F.coalesce(*all_)
+
+    def unlabelled(found: Column) -> Column:
+        if strict:
+            for word in ("Rcp", "Hvac", "Mep", "Ada"):
+                found = F.regexp_replace(found, rf"\b{word}\b", word.upper())
+        return F.when(~F.upper(strip(found)).isin(fixed.TITLE_LABELS), found)
+
+    return let(F.upper(F.regexp_replace(strip(text), r"[ \t]+", " ")), lambda t: F.when(t.isNotNull(), let(tried(t), unlabelled)))
 
 
 def row_errors(number: Column, project: Column, title: Column) -> Column:

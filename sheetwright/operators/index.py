@@ -51,11 +51,14 @@ def index_entry(line: Column) -> Column:
     before it and a title of three characters or more behind it, else behind
     a number at its start.
     """
-    cuts = [F.when(F.contains(line, F.lit(sep)), F.struct(F.substring_index(line, sep, 1).alias("l"), F.substring(line, F.instr(line, F.lit(sep)) + len(sep), F.length(line)).alias("r"))) for sep in fixed.INDEX_SEPARATORS]
+    entry = lambda c: let(c, lambda x: F.struct(normal_number(strip(x["l"])).alias("number"), clean_title(strip(x["r"]), 3).alias("title")))
+    whole = lambda c: let(entry(c), lambda m: F.when(m["number"].isNotNull() & m["title"].isNotNull(), m))
+    pair = lambda left, right: F.struct(left.alias("l"), right.alias("r"))
+    # each cut is only tried if those before it made no entry
+    tried = [F.when(F.contains(line, F.lit(sep)), whole(pair(F.substring_index(line, sep, 1), F.substring(line, F.instr(line, F.lit(sep)) + len(sep), F.length(line))))) for sep in fixed.INDEX_SEPARATORS]
     form = "^(" + fixed.INDEX_RAW_NUMBER + r")\s+(.+)$"
-    cuts.append(F.when(line.rlike(form), F.struct(F.regexp_extract(line, form, 1).alias("l"), F.regexp_extract(line, form, 2).alias("r"))))
-    made = F.transform(F.array_compact(F.array(*cuts)), lambda c: F.struct(normal_number(strip(c["l"])).alias("number"), clean_title(strip(c["r"]), 3).alias("title")))
-    return F.when(F.length(line) >= 3, F.get(F.filter(made, lambda m: m["number"].isNotNull() & m["title"].isNotNull()), F.lit(0)))
+    tried.append(F.when(line.rlike(form), whole(pair(F.regexp_extract(line, form, 1), F.regexp_extract(line, form, 2)))))
+    return F.when(F.length(line) >= 3, F.coalesce(*tried))
 
 
 def embedded_entries(pages: DataFrame) -> DataFrame:
@@ -102,9 +105,10 @@ def parse_index(pages: DataFrame) -> DataFrame:
     )
     entries = last_wins(entries.drop("n"), ["pdf", "page", "sheet_number"], ["line_no"])
     few = mine.join(entries.groupBy("pdf", "page").agg(F.count("*").alias("n")), ["pdf", "page"], "left").where(F.coalesce("n", F.lit(0)) < 3)
-    more = embedded_entries(few).join(entries.select("pdf", "page", "sheet_number"), ["pdf", "page", "sheet_number"], "left_anti")
-    both = entries.select("pdf", "page", "sheet_number", "title", "line_no").unionByName(more.select("pdf", "page", "sheet_number", "title", F.lit(None).cast("int").alias("line_no")))
-    return last_wins(both, ["pdf", "sheet_number"], ["page", "line_no"]).select("pdf", "sheet_number", "title", "page", "line_no")
+    # on one page, an entry of a line goes before one in running text
+    both = entries.select("pdf", "page", "sheet_number", "title", "line_no", F.lit(1).alias("by_line")).unionByName(
+        embedded_entries(few).select("pdf", "page", "sheet_number", "title", F.lit(None).cast("int").alias("line_no"), F.lit(0).alias("by_line")))
+    return last_wins(both, ["pdf", "sheet_number"], ["page", "by_line", "line_no"]).select("pdf", "sheet_number", "title", "page", "line_no")
 
 
 def last_wins(d: DataFrame, key: list[str], order: list[str]) -> DataFrame:

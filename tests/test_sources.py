@@ -164,3 +164,43 @@ def test_sinks(spark, tmp_path):
     assert {(r.pdf_hash, r.confidence) for r in saved.collect()} == {("h1", 0.5), ("h2", 0.9), ("h3", 0.7)} and sinks.delete_template(saved, t).count() == 1
     crops = spark.createDataFrame([("/x/12345678/p001_titleblock.png",)], "path string")
     assert sinks.crop_copies(crops).first().target == "12345678_p001_titleblock.png"
+
+
+def test_readers(spark, tmp_path):
+    names = ",".join(sinks.TRUTH_COLUMNS)
+    (tmp_path / "truth.csv").write_text(f"{names}\na.pdf,1,A1,First,,,,True,\na.pdf,1,A1,Second,,,,True,\na.pdf,x,A1,No page,,,,True,\n")
+    assert [(r.page_number, r.sheet_title) for r in readers.read_truth(spark, str(tmp_path / "truth.csv")).collect()] == [(1, "Second")]
+    (tmp_path / "expected.json").write_text(json.dumps({"a.pdf": {"1": {"sheet_number": "A1", "is_cover_sheet": True}, "2": {"sheet_title": "Two"}}}))
+    got = {r.page_number: r for r in readers.read_expected(spark, str(tmp_path / "expected.json")).collect()}
+    assert got[1].sheet_number == "A1" and got[1].is_cover_sheet and got[2].sheet_title == "Two" and got[2].project_number is None
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "h1.json").write_text(json.dumps({"pdf_hash": "h1", "confidence": 0.9, "exclusion_patterns": ["REV"]}))
+    (tmp_path / "t" / "h2.json").write_text("{broken")
+    assert [(r.pdf_hash, r.exclusion_patterns) for r in readers.read_templates(spark, str(tmp_path / "t")).collect()] == [("h1", ["REV"])]
+
+
+def test_streams(spark, tmp_path):
+    """Files that arrive are read and parsed as a stream, and distinct images are asked once."""
+    from sheetwright.streaming import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(made_pdf(PAGES))
+    pages = pdf.read_pages(ingest.pdf_stream(spark, str(tmp_path / "in")))
+    got = ingest.drain(pages, "pages_of_a_stream", "append")
+    assert [r.page_number for r in got.orderBy("page_number").collect()] == [1, 2, 3]
+    images = spark.createDataFrame([("h", bytearray(b"x")), ("h", bytearray(b"x"))], "image_hash string, image binary")
+    assert [tuple(r) for r in ingest.with_provider(images, lambda xs: [f"{len(x)} bytes" for x in xs]).collect()] == [("h", "1 bytes")]
+
+
+def test_pixels_and_lines(spark):
+    from sheetwright.functions import geometry, pages
+    from sheetwright.operators import profiles
+
+    d = spark.createDataFrame([(1, x, float(v)) for x, v in enumerate([0, 1, 4, 9])], "id int, x int, v double")
+    import numpy as np
+
+    v = np.array([0, 1, 4, 9], float)
+    want = [float(np.concatenate([v[:2][::-1], v, v[::-1][:1]])[i : i + 4].mean()) for i in range(4)]
+    assert [round(r.s, 9) for r in profiles.smoothed(d, 2, 1).orderBy("x").collect()] == [round(w, 9) for w in want]
+    r = spark.range(1).select(geometry.page_regions(F.lit(2000), F.lit(1000), 200).alias("r"), pages.detection_pages(F.lit(6)).alias("d"), pages.detection_pages(F.lit(4)).alias("e"), pages.detection_pages(F.lit(1)).alias("f")).first()
+    assert [x.name for x in r.r] == ["bottom_right", "right_strip", "bottom_strip", "bottom_left"] and (r.d, r.e, r.f) == ([1, 3, 5], [1, 2], [0]) and abs(r.r[0].box.x0 - 0.65) < 1e-9
