@@ -117,3 +117,9 @@ def detection_pages(total: Column) -> Column:
     """Pages, counted from 0, to find a border on."""
     pick = F.when(total > 5, F.array(F.lit(1), F.lit(3), F.lit(5))).when(total >= 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(0)))
     return F.filter(pick, lambda i: i < total)
+
+
+def every_nth(page: Column, n: int, most: int | None = None) -> Column:
+    """Whether a page, counted from 1, is one of every ``n``, the first of them first, ``most`` at most."""
+    hit = F.pmod(page - 1, F.lit(n)) == 0
+    return hit if most is None else hit & ((page - 1) / n < most)

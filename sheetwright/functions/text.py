@@ -128,3 +128,14 @@ def clean_title(x: Column, least: int = 0) -> Column:
 def preview(x: Column, most: int = 50) -> Column:
     """The first characters of a text."""
     return F.substring(x, 1, most)
+
+
+def contains_keyword(x: Column, keywords: list[str]) -> Column:
+    """Whether a keyword stands anywhere in the text, also within a word, whatever the case."""
+    up = F.upper(x)
+    return F.coalesce(F.exists(F.lit(keywords), lambda k: F.contains(up, k)), F.lit(False))
+
+
+def stamped_name(prefix: str, at: Column, suffix: str) -> Column:
+    """A file name with a time in it."""
+    return F.concat(F.lit(prefix), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit(suffix))

@@ -58,3 +58,15 @@ def method_counts(d: DataFrame) -> DataFrame:
     """(method, n) with index overrides as drawing_index and no method as failed."""
     m = F.when(F.col("title_method").isNull(), "failed").when(F.col("title_method") == "drawing_index_xref", "drawing_index").otherwise(F.col("title_method"))
     return d.groupBy(m.alias("method")).agg(F.count("*").alias("n"))
+
+
+def success_rate(d: DataFrame) -> DataFrame:
+    """(n, succeeded, rate): the share of rows with a title method; 0 without rows."""
+    out = d.agg(F.count("*").alias("n"), F.count("title_method").alias("succeeded"))
+    return out.withColumn("rate", F.coalesce(F.try_divide("succeeded", "n"), F.lit(0.0)))
+
+
+def summary_lines(summary: dict[str, object], title: str = "Summary") -> list[str]:
+    """A run's few totals as lines for a console."""
+    width = max([len(k) for k in summary], default=0)
+    return [title, "-" * len(title), *(f"{k.replace('_', ' '):<{width}}  {v}" for k, v in summary.items())]

@@ -203,3 +203,9 @@ def legacy_matches(number: Column, title: Column) -> Column:
     not_needed = F.coalesce(matches_any(title, fixed.NOT_NEEDED_TITLE), F.lit(False)) | F.coalesce(matches_any(n, fixed.NOT_NEEDED_NUMBER), F.lit(False))
     out = lambda c, k: F.struct(c.alias("categories"), F.lit(k).alias("classification"))
     return F.when(F.size(matched) > 0, out(matched, "matched")).when(not_needed, out(F.array(F.lit(fixed.NOT_NEEDED)), "not_needed")).otherwise(out(F.array(F.lit("unclassified_may_be_needed")), "unclassified"))
+
+
+def with_index(sheets: DataFrame, index: DataFrame) -> DataFrame:
+    """Sheets classified with their drawing index: (pdf_filename, sheet_number, title), matched by the number as it stands."""
+    titles = index.groupBy("pdf_filename", "sheet_number").agg(F.max("title").alias("index_title"))
+    return classified(sheets.join(titles, ["pdf_filename", "sheet_number"], "left"), index_title="index_title")

@@ -201,3 +201,14 @@ def cross_reference(d: DataFrame) -> DataFrame:
         F.when(weak, 0).when(differs, 1).otherwise(F.col("needs_review")).alias("needs_review"),
         weak.alias("xref_override"), differs.alias("xref_conflict"),
     )
+
+
+def set_entries(index: DataFrame, entries: DataFrame) -> DataFrame:
+    """An index with more entries (pdf_filename, sheet_number, title, ord); those given replace those of their number."""
+    old = index.withColumn("_new", F.lit(0)).unionByName(entries.withColumn("_new", F.lit(1)))
+    return last_wins(old, ["pdf_filename", "sheet_number"], ["_new", "ord"]).drop("_new")
+
+
+def clear_entries(index: DataFrame, pdfs: DataFrame) -> DataFrame:
+    """An index without the entries of some PDFs, so that they are parsed anew."""
+    return index.join(pdfs.select("pdf_filename").distinct(), "pdf_filename", "left_anti")

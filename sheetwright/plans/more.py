@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geometry, numbers, pages, scores, text
-from ..operators import classify, content, fields, index, learn, profiles, review, spatial, store
+from ..operators import accuracy, classify, content, fields, images, index, learn, profiles, review, spatial, store
 from ..rules import fixed
 from ..rules.build import categories
 from ..sources import sinks
@@ -68,6 +68,50 @@ def legacy_matches(spark, sf_dir):
     return d.select("sheet_number", "sheet_title", F.array_join("m.categories", ";").alias("categories"), "m.classification")
 
 
+@query("index_titles", f"""SELECT s.pdf_filename, s.page_number, e.title AS index_title FROM sheets s LEFT JOIN entries e ON e.pdf_filename = s.pdf_filename AND e.sheet_number = s.sheet_number""", "sheets entries")
+def index_titles(spark, sf_dir):
+    """O-JOIN-4, O-CLS-1, O-MISC-7: the index as classification takes it, by the number as it stands."""
+    s = fixtures.sheets(spark, sf_dir)
+    return classify.with_index(s, fixtures.index_entries(s)).select("pdf_filename", "page_number", "index_title")
+
+
+@query("success_rate", "SELECT count(*) AS n, count(*) FILTER (o_orderkey % 3 > 0) AS succeeded, count(*) FILTER (o_orderkey % 3 > 0) / count(*) AS rate FROM sheets")
+def success_rate(spark, sf_dir):
+    """O-AGG-3."""
+    return accuracy.success_rate(fixtures.sheets(spark, sf_dir).select(F.when(F.pmod("o_orderkey", F.lit(3)) > 0, "pattern").alias("title_method")))
+
+
+@query("every_nth_page", "SELECT pdf_filename, page_number FROM sheets WHERE (page_number - 1) % 7 = 0 AND page_number <= 7 * 20")
+def every_nth_page(spark, sf_dir):
+    """O-SORT-9: sampling is the operator."""
+    return fixtures.sheets(spark, sf_dir).where(pages.every_nth(F.col("page_number"), 7, 20)).select("pdf_filename", "page_number")
+
+
+@query("keyword_tests", f"""SELECT DISTINCT sheet_title, regexp_matches(upper(sheet_title), '\\b(?:{'|'.join(fixed.VALID_TITLE_KEYWORDS)})S?\\b') AS plural, regexp_matches(upper(sheet_title), '\\b(?:{'|'.join(fixed.VALID_TITLE_KEYWORDS)})\\b') AS word,
+  (SELECT bool_or(contains(upper(sheet_title), k)) FROM (VALUES {', '.join(f'({_quote(k)})' for k in fixed.QUALITY_KEYWORDS)}) q(k)) AS anywhere FROM sheets WHERE sheet_title IS NOT NULL""")
+def keyword_tests(spark, sf_dir):
+    """O-FLT-13."""
+    t = F.col("sheet_title")
+    return fixtures.sheets(spark, sf_dir).where("sheet_title is not null").select("sheet_title").distinct().select(
+        "sheet_title", text.has_title_keyword(t).alias("plural"), text.has_title_keyword(t, plural=False).alias("word"), text.contains_keyword(t, fixed.QUALITY_KEYWORDS).alias("anywhere"))
+
+
+@query("index_book", """SELECT pdf_filename, sheet_number, CASE WHEN ord % 3 = 0 THEN 'REPLACED' ELSE title END AS title FROM entries WHERE pdf_filename <> 'set_01.pdf'""", "sheets entries")
+def index_book(spark, sf_dir):
+    """O-TT-17: entries set over others, and a set's entries cleared."""
+    e = fixtures.index_entries(fixtures.sheets(spark, sf_dir))
+    book = index.set_entries(e, e.where(F.pmod("ord", F.lit(3)) == 0).withColumn("title", F.lit("REPLACED")))
+    return index.clear_entries(book, e.where("pdf_filename = 'set_01.pdf'")).select("pdf_filename", "sheet_number", "title")
+
+
+@query("deskew", """WITH s AS (SELECT l_suppkey % 30 AS page, degrees(atan2((l_partkey % 5) * 0.5 - 0.5, 10.0)) AS a FROM lineitem)
+SELECT page, round(CASE WHEN count(*) FILTER (abs(a) < 45) >= 5 AND abs(median(a) FILTER (abs(a) < 45)) <= 5 THEN median(a) FILTER (abs(a) < 45) ELSE 0 END, 9) AS angle FROM s GROUP BY ALL""", "blocks")
+def deskew(spark, sf_dir):
+    """O-IMG-6."""
+    d = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.pmod("l_suppkey", F.lit(30)).alias("page"), F.lit(0.0).alias("x1"), F.lit(0.0).alias("y1"), F.lit(10.0).alias("x2"), (F.pmod("l_partkey", F.lit(5)) * 0.5 - 0.5).alias("y2"))
+    return images.deskew_angle(d).withColumn("angle", F.round("angle", 9))
+
+
 # -- learning -----------------------------------------------------------------------------------
 
 _METHODS = "['pattern', 'spatial', 'vision_api', 'drawing_index'][CAST(o_orderkey % 4 AS INTEGER) + 1]"

@@ -66,3 +66,20 @@ def read_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Templates of a folder, one file each; damaged files are left out."""
     d = spark.read.schema(TEMPLATE + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
     return d.where("pdf_hash is not null").drop("_corrupt_record")
+
+
+def read_discoveries(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Cached title block descriptions of a folder, one file each, with their pdf_hash; damaged files are left out."""
+    d = spark.read.schema(f"pdf_hash string, {schema}, _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE").json(folder)
+    return d.where("pdf_hash is not null").drop("_corrupt_record")
+
+
+def settings(text: str, given: dict[str, str]) -> dict[str, str]:
+    """Settings of a key=value text beside those given, which it doesn't replace; comments and blank lines count for nothing, quotes around a value go."""
+    out = dict(given)
+    for line in text.splitlines():
+        key, found, value = line.strip().removeprefix("export ").partition("=")
+        if found and key.strip() and not key.lstrip().startswith("#"):
+            value = value.strip()
+            out.setdefault(key.strip(), value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value)
+    return out

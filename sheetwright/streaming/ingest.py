@@ -61,3 +61,13 @@ def with_provider(pages: DataFrame, provider: Callable[[list[bytes]], list[str |
 
     once = pages.groupBy(key).agg(F.first(image).alias(image))
     return once.select(key, image).mapInArrow(ask, f"{key} string, reply string")
+
+
+def logged_stream(rows: DataFrame, log: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a log of what came in: one file a micro-batch with its counts by PDF, written again if the batch is."""
+
+    def note(batch: DataFrame, epoch: int) -> None:
+        counts = batch.groupBy("pdf_filename").agg(F.count("*").alias("pages"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+        counts.withColumn("batch", F.lit(epoch)).coalesce(1).write.mode("overwrite").json(f"{log}/batch={epoch}")
+
+    return rows.writeStream.foreachBatch(note).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

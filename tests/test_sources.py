@@ -204,3 +204,83 @@ def test_pixels_and_lines(spark):
     assert [round(r.s, 9) for r in profiles.smoothed(d, 2, 1).orderBy("x").collect()] == [round(w, 9) for w in want]
     r = spark.range(1).select(geometry.page_regions(F.lit(2000), F.lit(1000), 200).alias("r"), pages.detection_pages(F.lit(6)).alias("d"), pages.detection_pages(F.lit(4)).alias("e"), pages.detection_pages(F.lit(1)).alias("f")).first()
     assert [x.name for x in r.r] == ["bottom_right", "right_strip", "bottom_strip", "bottom_left"] and (r.d, r.e, r.f) == ([1, 3, 5], [1, 2], [0]) and abs(r.r[0].box.x0 - 0.65) < 1e-9
+
+
+def test_images(spark):
+    import numpy as np
+
+    from sheetwright.operators import images
+
+    page = np.full((40, 100), 255, np.uint8)
+    page[:, 70] = 0
+    page[5:9, 10:14] = 0
+    for data in (images.encode(page), b"P5 100 40 255\n" + page.tobytes(), b"P6\n100 40\n255\n" + np.repeat(page[:, :, None], 3, 2).tobytes()):
+        assert (images.decode(data) == page).all()
+    with pytest.raises(images.ImageError):
+        images.decode(b"\x89PNG\r\n\x1a\n broken")
+    assert (images.prepared(255 - page) == page).all() and images.prepared(page, 90).shape == (120, 300)
+    assert images.longest_runs(page < 128)[[0, 10, 70]].tolist() == [0, 4, 40]
+    assert images.largest_part(page < 128) == (40, 70, 0, 70, 39) and images.largest_part(page > 300) is None
+    corner = np.eye(4, dtype=bool)
+    assert images.largest_part(corner) == (4, 0, 0, 3, 3)
+    d = spark.createDataFrame([("a", bytearray(images.encode(page)), 90), ("b", bytearray(images.encode(page)), 90), ("c", bytearray(b"none"), 0), ("d", None, 0)], "k string, image binary, angle int")
+    facts = images.image_facts(d.drop("angle")).collect()
+    assert sorted((r.width or 0, r.blank) for r in facts if not r.error) == [(100, True)] and sum(bool(r.error) for r in facts) == 1
+    (turned,) = [r for r in images.turn(d).collect() if r.image]
+    assert turned.angle == 90 and (images.decode(bytes(turned.image)) == np.rot90(page)).all()
+    crops = {r.strip: r.image for r in images.crop(d.where("k = 'a'").drop("angle")).collect()}
+    assert (images.decode(bytes(crops["title_block_bottom"])) == page[28:, 70:]).all() and set(crops) == set(images.STRIPS)
+    p = {r.x: (r.v, r.run) for r in images.column_profiles(d.drop("angle")).collect()}
+    assert p[0] == (0, 0) and max(p, key=lambda x: p[x]) in (69, 71) and len(p) == 100
+    assert images.main_parts(d.drop("angle")).count() == 1
+    assert images.prepare(d.drop("angle")).where("image is not null").count() == 1
+
+
+def test_png_filters():
+    """Every filter of the format, by a plain encoder."""
+    import struct
+
+    import numpy as np
+
+    from sheetwright.operators import images
+
+    values = np.random.default_rng(4).integers(0, 256, (10, 7, 3)).astype(np.uint8)
+
+    def guess(kind, left, up, corner):
+        if kind == 4:
+            near = [abs(left + up - corner - x) for x in (left, up, corner)]
+            return (left, up, corner)[near.index(min(near))]
+        return (0, left, up, (left + up) // 2)[kind]
+
+    body = bytearray()
+    for y in range(10):
+        kind = y % 5
+        body.append(kind)
+        for i in range(21):
+            v = values.reshape(10, 21).astype(int)
+            left, up, corner = v[y, i - 3] if i >= 3 else 0, v[y - 1, i] if y else 0, v[y - 1, i - 3] if y and i >= 3 else 0
+            body.append(int(v[y, i] - guess(kind, int(left), int(up), int(corner))) & 255)
+    chunk = lambda k, p: struct.pack(">I", len(p)) + k + p + struct.pack(">I", zlib.crc32(k + p))
+    data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 10, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(bytes(body))) + chunk(b"IEND", b"")
+    assert (images.decode(data) == images.grey(values)).all()
+
+
+def test_settings_and_lines(spark, tmp_path):
+    from sheetwright.functions import text
+    from sheetwright.operators import accuracy, classify
+    from sheetwright.streaming import ingest
+
+    assert readers.settings("# c\nexport A = 1\nB='two words'\n\nC=x=y\nA=9\nbad", {"B": "kept"}) == {"A": "1", "B": "kept", "C": "x=y"}
+    assert accuracy.summary_lines({"total_pages": 3, "errors": 0})[2:] == ["total pages  3", "errors       0"]
+    assert spark.range(1).select(text.stamped_name("run_", F.to_timestamp(F.lit("2024-01-02 03:04:05")), ".json")).first()[0] == "run_20240102_030405.json"
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.json").write_text(json.dumps({"pdf_hash": "h", "warnings": ["w"]}))
+    (tmp_path / "d" / "b.json").write_text("{")
+    assert [(r.pdf_hash, r.warnings) for r in readers.read_discoveries(spark, str(tmp_path / "d"), "warnings array<string>").collect()] == [("h", ["w"])]
+    rows = spark.createDataFrame([("p", "A101", None), ("p", "Z9", "Unknown Drawing")], "pdf_filename string, sheet_number string, sheet_title string")
+    got = {r.sheet_number: r for r in classify.with_index(rows, spark.createDataFrame([("p", "A101", "FIRST FLOOR PLAN")], "pdf_filename string, sheet_number string, title string")).collect()}
+    assert got["A101"].categories[0] == "floor_plans" and {s.source for s in got["A101"].signals} == {"drawing_index", "sheet_number", "title_pattern"} and got["Z9"].index_title is None
+    d = spark.createDataFrame([("a.pdf", None), ("a.pdf", "bad")], "pdf_filename string, error string")
+    d.coalesce(1).write.parquet(str(tmp_path / "in"))
+    ingest.logged_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
+    assert [(r.pdf_filename, r.pages, r.errors) for r in spark.read.json(str(tmp_path / "log")).collect()] == [("a.pdf", 2, 1)]
