@@ -172,8 +172,10 @@ def token_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     Returns doc_id, n_tokens, ids_sha256 and decoded_sha256, one row for each
     row of ``docs``. A null text is empty: no tokens, and the hashes of
-    nothing. Nothing is shuffled, and a worker holds one text's ids at a
-    time, however long it is.
+    nothing. Repeated rows each get their row; equal texts have equal ids.
+    Other columns are not looked at. An empty table gives an empty result.
+    Nothing is shuffled, and a worker holds one text's ids at a time, however
+    long it is.
     """
     out = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 

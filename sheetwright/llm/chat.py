@@ -39,7 +39,9 @@ def preference_pairs(rows: DataFrame) -> DataFrame:
     and rejected_mask. Two turns are equal if role and text are; null role
     and text are empty. Turns of one number are ordered by role and text. A
     side without turns has an empty prompt and completion. Rows with a null
-    pair_id belong to no pair and are left out. One group is one pair of
+    pair_id belong to no pair and are left out. Repeated rows are repeated
+    turns. Texts of any length are taken whole; other columns are not looked
+    at. An empty table gives an empty result. One group is one pair of
     conversations and makes one row, however many pairs share their turns.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

@@ -93,7 +93,11 @@ def mix(docs: DataFrame, seed: int = 17, weights=(3, 1, 2), share: float = 1.5,
     """The mixed documents: each row of ``docs`` as often as the mix takes it.
 
     Only the targets (one row a source) are joined to the documents; texts
-    are never shuffled. Documents of size 0 follow their source's rate too.
+    are never shuffled. Documents of size 0, null texts too, follow their
+    source's rate, which is 0 if the source has no words. A null source is a
+    source of its own. Repeated rows, and all rows of one doc_id, null ones
+    too, draw alike. Columns of other names stay as they are. An empty table
+    gives an empty result.
     """
     sizes = docs.select(F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
     targets = maybe_broadcast(materialize(source_targets(sizes, weights, share, cap).select(F.col("source").alias("_mix_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("_mix_rate")), "mix-rates"))

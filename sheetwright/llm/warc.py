@@ -23,6 +23,8 @@ from .common import materialize, maybe_broadcast, shared_dir
 
 #: A new archive begins once one holds this many compressed bytes.
 ARCHIVE_BYTES = 32 << 20
+#: Bytes read from an archive at once.
+CHUNK = 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -173,22 +175,27 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, date: str
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """Read the archives named by ``archives`` in ``folder``: page_id, payload_bytes, payload_digest, record_type, refers_to and url."""
-    spark = archives.sparkSession
-    if archives.limit(1).count() == 0:
-        return spark.createDataFrame([], READ)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
-    files = files.withColumn("path", F.substring_index("path", "/", -1)).join(maybe_broadcast(archives.select("path")), "path", "left_semi").select("content")
+    """Read the archives named by ``archives`` in ``folder``: page_id, payload_bytes, payload_digest, record_type, refers_to and url.
+
+    Each archive is read as a stream, CHUNK bytes at a time; one record is
+    held, however long its payload, and a damaged one raises.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("url", pa.string())])
+        fs, base = pa.fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for content in batch.column(0):
-                data = memoryview(content.as_buffer())
-                rows = [{k: r[k] for k in schema.names} for r in records(bytes(data[i : i + (1 << 16)]) for i in range(0, len(data), 1 << 16))]
+            for path in batch.column(0).to_pylist():
+                rows: list[dict] = []
+                with fs.open_input_stream(f"{base}/{path}", compression=None) as stream:
+                    for r in records(iter(lambda s=stream: s.read(CHUNK), b"")):
+                        rows.append({k: r[k] for k in schema.names})
+                        if len(rows) == 1000:
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                            rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return files.mapInArrow(run, READ)
+    return archives.select("path").mapInArrow(run, READ)
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
@@ -199,6 +206,10 @@ def archive_report(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Returns page_id, payload_bytes, payload_digest, record_type and
     refers_to, one row for each row of ``pages``; none for an empty table.
+    Null and empty html are payloads of no bytes; payloads of any length are
+    one record. Ties of page_id and payload are all responses; a null
+    page_id revisits what has one, else is a response. Other columns are not
+    looked at.
     """
     folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     return read_archives(write_archives(pages, folder, min_bytes), folder).drop("url")
