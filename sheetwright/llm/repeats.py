@@ -19,7 +19,10 @@ repeated windows. Three digits are used.
 
 Shards are ranges of doc_id, so an earlier shard's documents are smaller, and
 keys need no doc_id. Each shard sends a key once, however often it occurs
-there, so a string that a third of all rows holds makes one key a shard.
+there, so a string that a third of all rows holds makes one key a shard. An
+anchor with many surroundings within a shard is hot: the shard sends one mark
+in place of its keys, and every shard sends that anchor's windows to pass 3,
+whose buckets are even whatever the anchors.
 """
 
 from __future__ import annotations
@@ -36,6 +39,10 @@ from .common import release
 LENGTH, ANCHOR = 50, 20
 #: Bytes of text in a shard, for each bucket, and for each partition of a shuffle, about.
 SHARD_BYTES, BUCKET_BYTES, PART_BYTES = 1 << 20, 4 << 20, 12 << 20
+#: Shards grow with the text beyond so many of them, by this factor at most, so that what all shards send of one string stays small.
+SHARDS, SHARD_GROWTH = 50_000, 16
+#: Surroundings of an anchor within a shard from which it is hot; what is sent in place of them.
+HOT, MARK = 32, np.uint64(0)
 #: Quantiles of doc_id that shards are laid out by; between two of them ids are taken to be even.
 KNOTS = 1000
 #: Windows looked at together; places take so many bits beside the hash.
@@ -91,7 +98,8 @@ class Shard:
     For each anchor in turn: doc (index), lo and hi (first and last window),
     anchor and around (hashes). ``key`` gives each its place among the
     distinct keys, which have anchors, arounds and first (index of the least
-    document).
+    document). sent_anchors and sent_arounds are what the shard sends, and
+    ``place`` says which of it stands for a key.
     """
 
     def __init__(self, table: pa.Table):
@@ -112,6 +120,15 @@ class Shard:
         self.key[order] = np.cumsum(new) - 1
         self.anchors, self.arounds = a[new], b[new]
         self.first = self.doc[order][new]  # the sort is stable, and documents come in order
+        # of a hot anchor's keys the first stands for all
+        start = np.flatnonzero(np.diff(self.anchors, prepend=self.anchors[:1] + np.uint64(1)) != 0) if len(self.anchors) else np.zeros(0, int)
+        n = np.diff(np.append(start, len(self.anchors)))
+        hot = np.repeat(n >= HOT, n)
+        sent = ~hot
+        sent[start] = True
+        self.sent_anchors = self.anchors[sent]
+        self.sent_arounds = np.where(hot, MARK, np.maximum(self.arounds, np.uint64(1)))[sent]
+        self.place = np.cumsum(sent) - 1 if len(sent) else np.zeros(0, np.int64)
 
     def _anchors(self) -> None:
         found: list[list[np.ndarray]] = []
@@ -205,7 +222,7 @@ def _returned(table: pa.Table, flags: np.ndarray, sizes: np.ndarray) -> pa.Table
 
 
 def compare_keys(table: pa.Table) -> pa.Table:
-    """Flags of the keys of a bucket: 1 if an earlier shard has the key, 2 for a key's first shard if its anchor has other texts around."""
+    """Flags of the keys of a bucket: 2 if the anchor is hot in any shard, else 1 if an earlier shard has the key, else 2 if the anchor has other texts around."""
     keys, more, shards, sizes = _gathered(table, np.uint32)
     order = np.lexsort((more, keys))
     k, m, d = keys[order], more[order], shards[order]
@@ -214,8 +231,9 @@ def compare_keys(table: pa.Table) -> pa.Table:
     text = np.cumsum(other | (m != np.concatenate([m[:1], m[:-1]])))
     least = _least(text, d)
     several = np.bincount(anchor[np.flatnonzero(np.diff(text, prepend=-1))])[anchor] > 1
+    hot = np.bincount(anchor, m == MARK)[anchor] > 0
     flags = np.empty(len(order), np.uint8)
-    flags[order] = np.where(least < d, 1, np.where(several, 2, 0))
+    flags[order] = np.where(hot, 2, np.where(least < d, 1, np.where(several, 2, 0)))
     return _returned(table, flags, sizes)
 
 
@@ -284,7 +302,8 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     total = d.select(F.sum(F.octet_length("data"))).first()[0]
     if total is None:
         return spark.createDataFrame([], OUT)
-    shards, buckets = max(1, -(-total // SHARD_BYTES)), max(1, -(-total // BUCKET_BYTES))
+    shard_bytes = min(max(SHARD_BYTES, total // SHARDS), SHARD_GROWTH * SHARD_BYTES)
+    shards, buckets = max(1, -(-total // shard_bytes)), max(1, -(-total // BUCKET_BYTES))
     n = min(KNOTS, shards)
     knots = np.array(d.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / n for i in range(n + 1)], 0.25 / n) or [0.0])
     at, last = np.unique(knots[::-1], return_index=True)
@@ -301,17 +320,17 @@ def repeat_report(docs: DataFrame) -> DataFrame:
 
     def send_keys(table: pa.Table) -> pa.Table:
         s = Shard(table)
-        return tidy(_rows(table.column("shard")[0].as_py(), s.anchors, s.arounds, buckets))
+        return tidy(_rows(table.column("shard")[0].as_py(), s.sent_anchors, s.sent_arounds, buckets))
 
     def send_windows(left: pa.Table, right: pa.Table) -> pa.Table:
         s = Shard(left)
-        hashes = _distinct_windows(s, _flags(right, len(s.anchors)))[3]
+        hashes = _distinct_windows(s, _flags(right, len(s.sent_anchors))[s.place])[3]
         return tidy(_rows(left.column("shard")[0].as_py(), hashes, None, buckets))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         s = Shard(left)
         kind = np.array(right.column("kind").to_pylist(), int)
-        flags = _flags(right.filter(pa.array(kind == 0)), len(s.anchors))
+        flags = _flags(right.filter(pa.array(kind == 0)), len(s.sent_anchors))[s.place]
         back = np.frombuffer(b"".join(x for _, x in sorted(zip(right.filter(pa.array(kind == 1)).column("bucket").to_pylist(), right.filter(pa.array(kind == 1)).column("flags").to_pylist(), strict=True))), np.uint8)
         gone = removed_bytes(s, flags, back)
         rows = []

@@ -121,8 +121,39 @@ def test_tokens(docs, rows, none, library):
     assert bpe.token_report(none, PATH, P.PATTERN).count() == 0
 
 
-def test_repeats_across_shards(docs, rows, monkeypatch):
-    """Many shards and buckets: what repeats is found by the passes over the cluster."""
+def _hot_in_process(rows, hot, monkeypatch):
+    """The passes one after the other in this process, over shards of a few documents."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "HOT", hot)
+    edge = "this passage of fifty bytes and more stands in many documents here"
+    more = sorted([(i, t or "") for i, t, *_ in rows if i != 300] + [(500 + i, f"{'abcdefghijklmnopqrstuvwxyz'[i % 26] * (i % 7)}{edge}{i * 7919}") for i in range(40)])
+    parts = [more[i : i + 9] for i in range(0, len(more), 9)]
+    shards = [repeats.Shard(pa.table({"doc_id": [i for i, _ in p], "data": [t.encode() for _, t in p]})) for p in parts]
+    assert any((s.sent_arounds == repeats.MARK).any() for s in shards)
+
+    def passed(send, compare):
+        rows_ = pa.concat_tables([send(k, s) for k, s in enumerate(shards)])
+        buckets = set(rows_.column("bucket").to_pylist())
+        return pa.concat_tables([compare(rows_.filter(pa.array([b == x for x in rows_.column("bucket").to_pylist()]))) for b in buckets]) if buckets else None
+
+    mine = lambda table, k: table.filter(pa.array([x == k for x in table.column("shard").to_pylist()]))
+    told = passed(lambda k, s: repeats._rows(k, s.sent_anchors, s.sent_arounds, 7), repeats.compare_keys)
+    flags = [repeats._flags(mine(told, k), len(s.sent_anchors))[s.place] for k, s in enumerate(shards)]
+    back = passed(lambda k, s: repeats._rows(k, repeats._distinct_windows(s, flags[k])[3], None, 7), repeats.compare_windows)
+    got = set()
+    for k, s in enumerate(shards):
+        gone = repeats.removed_bytes(s, flags[k], repeats._flags(mine(back, k), len(repeats._distinct_windows(s, flags[k])[3])))
+        got |= {(i, int(b - a), int(gone[a:b].sum())) for i, a, b in zip(s.real, s.starts, s.ends)}
+    assert got == {x[:3] for x in brute_repeats([(i, t, None) for i, t in more])}
+
+
+@pytest.mark.parametrize("hot", [2, 32])
+def test_repeats_across_shards(docs, rows, monkeypatch, hot):
+    """Many shards and buckets: what repeats is found by the passes over the cluster, with most anchors hot too."""
+    if hot != repeats.HOT:  # workers import the module anew, so other values are tried in this process
+        _hot_in_process(rows, hot, monkeypatch)
+        return
     monkeypatch.setattr(repeats, "SHARD_BYTES", 2000)
     monkeypatch.setattr(repeats, "BUCKET_BYTES", 4000)
     monkeypatch.setattr(repeats, "PART_BYTES", 20_000)
