@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..rules import fixed
-from ..rules.build import any_of, lookup
+from ..rules.build import any_of, let, lookup
 from .text import quoted, strip, without_index
 
 _STANDARD = r"^([A-Z]{1,2})[-.]?(\d)(\d{1,3})(?:\.(\d{1,2}))?$"
@@ -141,3 +141,19 @@ def false_project(value: Column, text: Column) -> Column:
     phone = seen(text, r"\d{3}[-.\s]\d{3}[-.\s]", q) | seen(text, q, r"[-.\s]\d{3}[-.\s]\d{4}") | seen(text, r"\d{3}[-.\s]", q, r"[-.\s]\d{4}")
     postal = v.rlike(r"^\d{5}$") & seen(up, r"[A-Z]{2}\s+", q)
     return F.coalesce(seen(text, r"\d{1,2}[/-]\d{1,2}[/-]", q) | v.isin(fixed.YEARS) | street | phone | postal, F.lit(False))
+
+
+def repaired_candidate(text: Column) -> Column:
+    """A number read letter by letter: the prefix stays, O and Q after it are zeros, I and l ones; then the number within, else what there is."""
+    two, one = F.substring(text, 1, 2), F.substring(text, 1, 1)
+    prefix = F.when((F.length(text) >= 2) & two.isin([p for p in fixed.NUMBER_PREFIXES if len(p) == 2]), two).otherwise(one)
+
+    def number_in(made: Column) -> Column:
+        return F.coalesce(F.when(made.rlike(f"^{fixed.NUMBER_VALUE}$"), made), F.nullif(F.regexp_extract(made, fixed.NUMBER_VALUE, 1), F.lit("")), made)
+
+    return let(F.concat(prefix, F.translate(F.substring(text, F.length(prefix) + 1, F.length(text)), "OQIl", "0011")), number_in)
+
+
+def edge_text_ok(text: Column) -> Column:
+    """Whether text read from a page's edges shows a sheet number."""
+    return F.coalesce(text.rlike(any_of(fixed.EDGE_SIGNS, ignore_case=False)), F.lit(False))

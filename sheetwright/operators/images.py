@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from .providers import image_hash
 
 #: Share of white pixels from which a crop is blank; grey values above this are white.
-BLANK, WHITE = 0.95, 250
-#: Parts of a page where title blocks stand, as fractions x0, y0, x1, y1, in order of search.
+BLANK, WHITE = 0.95, 240
+#: Parts of a page or title block to read, as fractions x0, y0, x1, y1: edges of a title block, the strips of a page that hold one, a page's edges.
 STRIPS = {
-    "title_block_bottom": (0.7, 0.7, 1.0, 1.0), "right_edge": (0.85, 0.0, 1.0, 1.0), "bottom_edge": (0.0, 0.85, 1.0, 1.0), "wide_right": (0.7, 0.0, 1.0, 1.0), "narrow_right": (0.94, 0.0, 1.0, 1.0),
+    "block_right": (0.70, 0.0, 1.0, 1.0), "block_left": (0.0, 0.0, 0.30, 1.0), "wide_right": (0.85, 0.0, 1.0, 1.0), "vertical_right": (0.92, 0.0, 1.0, 1.0),
+    "edge_right": (0.95, 0.0, 1.0, 1.0), "edge_left": (0.0, 0.0, 0.05, 1.0), "corner": (0.85, 0.85, 1.0, 1.0), "edge_right_wider": (0.90, 0.0, 1.0, 1.0),
 }
 
 

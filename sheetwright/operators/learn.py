@@ -167,3 +167,9 @@ def project_fallback(d: DataFrame, share: float = 0.6) -> DataFrame:
     best = counts.groupBy("pdf_filename").agg(F.max_by("project_number", F.struct("n", -F.col("first"))).alias("_best"), F.max("n").alias("_n"), F.sum("n").alias("_all"))
     best = best.where(F.col("_n") / F.col("_all") >= share).select("pdf_filename", "_best")
     return d.join(best, "pdf_filename", "left").withColumn("project_number", F.coalesce(F.nullif(strip(F.col("project_number")), F.lit("")), F.col("_best"))).drop("_best")
+
+
+def identified(templates: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Templates with template_id, pdf_hash (from (pdf_filename, pdf_hash)), source_pdf and created_at; ids and times are new in each run."""
+    t = templates.join(hashes.select("pdf_filename", "pdf_hash"), "pdf_filename", "left")
+    return t.withColumns({"template_id": F.uuid(), "source_pdf": F.col("pdf_filename"), "created_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")})

@@ -6,6 +6,7 @@ none is part of this package. Replies are joined back by the image's hash.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import first_json, strip
+from ..rules import fixed
 
 TextEngine = Callable[[list[bytes]], Sequence[str | None]]
 #: Words as (text, left, top, width, height, confidence); the confidence may be a text.
@@ -76,6 +78,63 @@ def reply_value(reply: Column) -> Column:
     return F.when((t != "") & (F.upper(t) != "UNKNOWN"), t)
 
 
+class Refused(RuntimeError):
+    """An engine that refuses a call for now."""
+
+
+class Limited:
+    """A one-image engine as one of lists, with so many calls a minute at most.
+
+    A refused call waits and is made once more; if that is refused too, the
+    engine is off for good and answers nothing. Clock and sleep can be given.
+    One object counts the calls of one worker.
+    """
+
+    def __init__(self, engine: Callable[[bytes], str | None], most: int = fixed.CALLS_A_MINUTE, backoff: Sequence[float] = fixed.CALL_BACKOFF, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.engine, self.most, self.backoff, self.clock, self.sleep = engine, most, backoff, clock, sleep
+        self.calls: list[float] = []
+        self.off = False
+
+    def _turn(self) -> None:
+        self.calls = [t for t in self.calls if self.clock() - t < 60]
+        if len(self.calls) >= self.most:
+            self.sleep(max(0.0, 60 - (self.clock() - min(self.calls))))
+            self.calls = [t for t in self.calls if self.clock() - t < 60]
+        self.calls.append(self.clock())
+
+    def ask(self, image: bytes) -> str | None:
+        for k in range(2):
+            if self.off:
+                return None
+            self._turn()
+            try:
+                return self.engine(image)
+            except Refused:
+                self.sleep(self.backoff[k])
+                self.off = k == 1
+        return None
+
+    def __call__(self, images: list[bytes]) -> list[str | None]:
+        return [self.ask(x) for x in images]
+
+
+def read_replies(pages: DataFrame, engine: TextEngine, known: DataFrame | None = None) -> DataFrame:
+    """(image_hash, reply) of a model: known replies as they are, and new ones of images that have none.
+
+    UNKNOWN and blank replies are null, and are known too, so no image is asked twice.
+    """
+    new = _distinct(pages)
+    if known is not None:
+        new = new.join(known.select("image_hash"), "image_hash", "left_anti")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(engine(b.column(1).to_pylist()), pa.string())], names=["image_hash", "reply"])
+
+    out = new.select("image_hash", "image").mapInArrow(ask, "image_hash string, reply string").withColumn("reply", reply_value(F.col("reply")))
+    return out if known is None else known.select("image_hash", "reply").unionByName(out)
+
+
 def with_replies(pages: DataFrame, replies: DataFrame, out: str, value: str = "reply") -> DataFrame:
     """Pages with the value of their image's reply as ``out``."""
     r = replies.select(F.col("image_hash").alias("_hash"), F.col(value).alias(out))

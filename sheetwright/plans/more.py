@@ -333,6 +333,20 @@ def extract_fields(spark, sf_dir):
     return fields.extract_fields(fixtures.sheet_text(s), fixtures.index_entries(s)).select("pdf_filename", "page_number", "sheet_number", "number_method", "sheet_title", "title_method", F.round("title_confidence", 6).alias("title_confidence"), "needs_review", "is_cover_sheet", "discipline", "confidence")
 
 
+_READ = """c AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN replace(sheet_number, '0', 'O') WHEN 1 THEN replace(sheet_number, '1', 'l') WHEN 2 THEN 'AD' || o_orderkey % 10 || 'O' WHEN 3 THEN 'X' || sheet_number WHEN 4 THEN 'QOI' ELSE sheet_title END AS t FROM sheets)"""
+
+
+@query("repaired_numbers", f"""WITH {_READ}, m AS (SELECT o_orderkey, t, CASE WHEN length(t) >= 2 AND substr(t, 1, 2) IN ('AD', 'ST', 'AS', 'EL', 'RC', 'FP', 'SP', 'MP', 'EP') THEN 2 ELSE 1 END AS k FROM c),
+x AS (SELECT o_orderkey, t, substr(t, 1, k) || translate(substr(t, k + 1), 'OQIl', '0011') AS made FROM m)
+SELECT o_orderkey, coalesce(nullif(regexp_extract(made, '[A-Z]{{1,2}}[-.]?[0-9]{{1,3}}([.][0-9]{{1,2}})?'), ''), made) AS number, coalesce(regexp_matches('SHEET ' || t, '(SHEET|EET|NO[.]?:?)\\s*\\n*\\s*[A-Z][0-9]') OR regexp_matches('SHEET ' || t, '\\b[A-Z][0-9]+[.][0-9]+\\b'), false) AS shown FROM x""")
+def repaired_numbers(spark, sf_dir):
+    """O-SN-10, O-SN-11."""
+    k, n = F.pmod("o_orderkey", F.lit(6)), F.col("sheet_number")
+    t = F.when(k == 0, F.replace(n, F.lit("0"), F.lit("O"))).when(k == 1, F.replace(n, F.lit("1"), F.lit("l"))).when(k == 2, F.concat(F.lit("AD"), F.pmod("o_orderkey", F.lit(10)).cast("string"), F.lit("O"))).when(k == 3, F.concat(F.lit("X"), n)).when(k == 4, "QOI").otherwise(F.col("sheet_title"))
+    d = fixtures.sheets(spark, sf_dir).select("o_orderkey", t.alias("t"))
+    return d.select("o_orderkey", numbers.repaired_candidate(F.col("t")).alias("number"), numbers.edge_text_ok(F.concat(F.lit("SHEET "), F.col("t"))).alias("shown"))
+
+
 _RULES = """r AS (SELECT o_orderkey, sheet_number AS n, CASE o_orderkey % 7 WHEN 0 THEN '2024' WHEN 1 THEN '4321' WHEN 2 THEN '60601' WHEN 3 THEN '5512' WHEN 4 THEN 'P-77' ELSE sheet_number END AS p,
   ' - ' || coalesce(sheet_title, 'TITLE') || ' : ' AS t, 'cover t1.' || o_orderkey % 10 || ' and T-' || o_orderkey % 1000 AS x, title_confidence AS c FROM sheets)"""
 _AROUND = "'at 4321 N. MAIN STREET, IL 60601, call 312-555-5512, issued 1/2/2024'"

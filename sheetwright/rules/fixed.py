@@ -307,3 +307,10 @@ COVER_TITLE = "TITLE SHEET"
 YEARS = ["2018", "2019", "2020", "2021", "2022", "2023", "2024", "2025", "2026", "2027", "2028", "2029", "2030"]
 STREETS = [r"S\.?\s+WOLF", r"N\.?\s+\w+", r"ARMOU?R", r"LINCOLN", r"\s+(?:ROAD|RD|STREET|ST|AVENUE|AVE|BLVD|BOULEVARD|DRIVE|DR|WAY|LANE|LN|HIGHWAY|HWY)"]
 STREET_ADDRESS = r"\s+[NSEW]?\.?\s*\w+\s+(ROAD|RD|STREET|ST|AVE|AVENUE|BLVD|DR|DRIVE|WAY|LN|LANE|HWY|HIGHWAY)"
+
+#: Prefixes of sheet numbers that are kept when what follows is repaired, and signs of a number in text read from a page's edges.
+NUMBER_PREFIXES = ["A", "M", "E", "S", "D", "T", "P", "C", "G", "L", "R", "AD", "ST", "AS", "EL", "RC", "FP", "SP", "MP", "EP"]
+EDGE_SIGNS = [r"(SHEET|EET|NO\.?:?)\s*\n*\s*[A-Z]\d", r"\b[A-Z]\d+\.\d+\b"]
+
+#: Calls of a model: a minute, seconds to wait after a refusal, and after a second one.
+CALLS_A_MINUTE, CALL_BACKOFF = 10, (60, 120)

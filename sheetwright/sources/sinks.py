@@ -167,3 +167,8 @@ def rate_limited(calls: DataFrame, seconds: int = 60, most: int = 10) -> DataFra
     """Adds ``waits``: whether a call of (key, ts) has ``most`` calls of its key in the seconds before it."""
     w = Window.partitionBy("key").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-seconds, 0)
     return calls.withColumn("waits", F.count("*").over(w) > most)
+
+
+def save_telemetry(d: DataFrame, path: str) -> None:
+    """Writes what detectors and engines noted of each page, one folder a set, for looking into afterwards."""
+    d.write.mode("overwrite").partitionBy("pdf_filename").json(path)

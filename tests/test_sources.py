@@ -229,7 +229,7 @@ def test_images(spark):
     (turned,) = [r for r in images.turn(d).collect() if r.image]
     assert turned.angle == 90 and (images.decode(bytes(turned.image)) == np.rot90(page)).all()
     crops = {r.strip: r.image for r in images.crop(d.where("k = 'a'").drop("angle")).collect()}
-    assert (images.decode(bytes(crops["title_block_bottom"])) == page[28:, 70:]).all() and set(crops) == set(images.STRIPS)
+    assert (images.decode(bytes(crops["block_right"])) == page[:, 70:]).all() and set(crops) == set(images.STRIPS)
     p = {r.x: (r.v, r.run) for r in images.column_profiles(d.drop("angle")).collect()}
     assert p[0] == (0, 0) and max(p, key=lambda x: p[x]) in (69, 71) and len(p) == 100
     assert images.main_parts(d.drop("angle")).count() == 1
@@ -284,3 +284,38 @@ def test_settings_and_lines(spark, tmp_path):
     d.coalesce(1).write.parquet(str(tmp_path / "in"))
     ingest.logged_stream(spark.readStream.schema(d.schema).parquet(str(tmp_path / "in")), str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     assert [(r.pdf_filename, r.pages, r.errors) for r in spark.read.json(str(tmp_path / "log")).collect()] == [("a.pdf", 2, 1)]
+
+
+def test_limited_calls(spark):
+    now, slept, asked = [0.0], [], []
+
+    def sleep(seconds):
+        slept.append(seconds)
+        now[0] += seconds
+
+    def engine(image):
+        asked.append(image)
+        if image == b"refused" or image == b"once" and asked.count(b"once") == 1:
+            raise providers.Refused
+        return image.decode()
+
+    limited = providers.Limited(engine, 3, (60, 120), lambda: now[0], sleep)
+    assert limited([b"a", b"b", b"c", b"d"]) == ["a", "b", "c", "d"] and slept == [60]
+    assert limited([b"once"]) == ["once"] and slept == [60, 60] and not limited.off
+    assert limited([b"refused", b"e"]) == [None, None] and limited.off and slept[-1] == 120
+    pages = spark.createDataFrame([(bytearray(b"one"),), (bytearray(b"two"),), (bytearray(b"one"),)], "image binary")
+    first = providers.read_replies(pages.limit(1), lambda xs: [f"Plan {x.decode()}" for x in xs]).cache()
+
+    def unknown(images):
+        assert images == [b"two"]
+        return ["UNKNOWN"]
+
+    both = providers.read_replies(pages, unknown, first)
+    assert sorted((r.t or "") for r in providers.with_replies(pages, both, "t").collect()) == ["", "Plan one", "Plan one"] and both.count() == 2
+
+
+def test_identified_templates(spark):
+    from sheetwright.operators import learn
+
+    t = learn.identified(spark.createDataFrame([("a.pdf", 0.9)], "pdf_filename string, confidence double"), spark.createDataFrame([("a.pdf", "h")], "pdf_filename string, pdf_hash string")).first()
+    assert len(t.template_id) == 36 and (t.pdf_hash, t.source_pdf) == ("h", "a.pdf") and "T" in t.created_at
