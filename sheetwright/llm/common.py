@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="sheetwright-")
