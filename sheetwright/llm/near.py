@@ -453,3 +453,23 @@ def near_filter(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     often = maybe_broadcast(often)
     out = out.join(often, "_n_k", "left_anti").unionByName(out.join(often, "_n_k", "left_semi").dropDuplicates(["_n_k"]))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: The query's oracle: every pair that shares a shingle is counted, so it is for small tables.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT r, array_to_string(w[i : i + k - 1], ' ') AS x FROM (SELECT r, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM (SELECT r, w, least(5, len(w)) AS k FROM d WHERE len(w) > 0))),
+sets AS MATERIALIZED (
+  SELECT d.r, d.doc_id, coalesce(s.n, 0) AS n, coalesce(s.every, '') AS every FROM d LEFT JOIN (SELECT r, count(*) AS n, string_agg(x, '|' ORDER BY x) AS every FROM shingles GROUP BY r) s USING (r)),
+pairs AS MATERIALIZED (
+  SELECT a, b FROM (SELECT s.r AS a, t.r AS b, count(*) AS shared FROM shingles s JOIN shingles t ON s.x = t.x AND s.r < t.r GROUP BY ALL) JOIN sets p ON p.r = a JOIN sets q ON q.r = b WHERE 5 * shared >= 4 * (p.n + q.n - shared)
+  UNION ALL SELECT p.r, q.r FROM sets p JOIN sets q ON p.n = 0 AND q.n = 0 AND p.r < q.r),
+links AS MATERIALIZED (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reached AS (SELECT r, r AS root FROM sets UNION SELECT l.b, c.root FROM reached c JOIN links l ON l.a = c.r),
+roots AS (SELECT r, min(root) AS root FROM reached GROUP BY r),
+classes AS (SELECT root, min(doc_id) AS class_id FROM roots JOIN sets USING (r) GROUP BY root),
+copies AS (SELECT every, min(doc_id) AS copy_id FROM sets GROUP BY every)
+SELECT s.doc_id, c.class_id, o.copy_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM sets s JOIN roots USING (r) JOIN classes c USING (root) JOIN copies o USING (every) LEFT JOIN (SELECT a AS r, count(*) AS n FROM links GROUP BY a) l USING (r)
+"""

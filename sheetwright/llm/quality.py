@@ -160,3 +160,30 @@ def quality_filter(docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float =
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: The query's oracle.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+lines AS (
+  SELECT r, source, text, line, regexp_replace(line, '[ \x09-\x0D]+', '', 'g') AS norm FROM (SELECT r, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
+real AS (SELECT *, lower(norm) AS key FROM lines WHERE norm <> ''),
+repeated AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM real GROUP BY r),
+hosts AS (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY source),
+bad AS (
+  SELECT l.source, l.key FROM (SELECT source, key, count(DISTINCT text) AS n FROM real GROUP BY source, key) l JOIN hosts h ON h.source IS NOT DISTINCT FROM l.source
+  WHERE l.n >= 20 AND l.n >= 0.01::DOUBLE * h.docs),
+lost AS (SELECT r, sum(length(norm)) AS n FROM real JOIN bad ON bad.source IS NOT DISTINCT FROM real.source AND bad.key = real.key GROUP BY r),
+measured AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(p.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, coalesce(l.n, 0) AS lost
+  FROM d LEFT JOIN repeated p USING (r) LEFT JOIN covered c USING (r) LEFT JOIN lost l USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND NOT lost > word_chars * 0.5::DOUBLE AS kept
+FROM measured
+"""

@@ -63,4 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat_formatting": chat.SQL, "op5_source_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_line_dedup": templates.SQL, "op2_chat_formatting": chat.SQL, "op4_jaccard_join": near.SQL, "op5_source_mixing": mixing.SQL,
+    "op8_suffix_dedup": repeats.SQL, "op9_quality_rules": quality.SQL,
+}

@@ -347,3 +347,19 @@ def repeat_report(docs: DataFrame) -> DataFrame:
     back = windows.repartition(parts, "bucket").groupBy("bucket").applyInArrow(compare_windows, BACK)
     both = told.withColumn("kind", F.lit(0)).unionByName(back.withColumn("kind", F.lit(1)))
     return texts.groupBy("shard").cogroup(both.groupBy("shard")).applyInArrow(finish, OUT)
+
+
+#: The query's oracle: every window is a row, so it is for small tables.
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+windows AS (SELECT doc_id, p, substr(hx, 2 * p + 1, 100) AS x FROM (SELECT doc_id, hx, unnest(range(0, length(hx) // 2 - 49)) AS p FROM d)),
+gone AS MATERIALIZED (SELECT w.doc_id, w.p FROM windows w JOIN (SELECT x, min(doc_id) AS first FROM windows GROUP BY x HAVING count(DISTINCT doc_id) > 1) f ON f.x = w.x AND f.first < w.doc_id),
+runs AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM (SELECT doc_id, p, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS fresh FROM gone)),
+spans AS (SELECT doc_id, min(p) AS a, max(p) + 50 AS b FROM runs GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+kept AS (
+  SELECT d.doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(substr(hx, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(hx), 2 * max(b) + 1) AS hx
+  FROM gaps JOIN d USING (doc_id) GROUP BY d.doc_id)
+SELECT d.doc_id, CAST(length(d.hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k.hx, d.hx))) AS kept_sha256
+FROM d LEFT JOIN kept k USING (doc_id)
+"""

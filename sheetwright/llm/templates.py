@@ -120,3 +120,26 @@ def drop_templates(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOCS
     if "n_chars" in docs.columns:
         d = d.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+#: The query's oracle.
+SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+lines AS MATERIALIZED (
+  SELECT r, text, i, line, list_transform(regexp_extract_all(line, '[^ \x09-\x0D]+'), lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) AS t
+  FROM (SELECT r, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d)),
+keyed AS MATERIALIZED (SELECT r, text, i, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf, array_to_string(t, ' ') AS h, t FROM lines WHERE len(t) >= 3),
+leaves AS (SELECT leaf FROM keyed GROUP BY leaf HAVING count(DISTINCT text) >= 20),
+mine AS MATERIALIZED (SELECT k.* FROM keyed k JOIN leaves USING (leaf)),
+known AS MATERIALIZED (SELECT leaf, h, any_value(t) AS t, count(DISTINCT text) AS n FROM mine GROUP BY leaf, h),
+tokens AS (SELECT leaf, h, n, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM known),
+held AS (SELECT leaf, pos, token FROM tokens WHERE token <> '<*>' GROUP BY leaf, pos, token HAVING sum(n) >= 20),
+shapes AS MATERIALIZED (
+  SELECT leaf, h, string_agg(pos || ':' || token, ' ' ORDER BY pos) AS shape FROM tokens JOIN held USING (leaf, pos, token) JOIN (SELECT leaf, h, len(t) AS m FROM known) USING (leaf, h)
+  GROUP BY leaf, h, m HAVING count(*) >= 0.5::DOUBLE * m),
+recur AS (SELECT leaf, shape FROM mine JOIN shapes USING (leaf, h) GROUP BY leaf, shape HAVING count(DISTINCT text) >= 20),
+gone AS (SELECT DISTINCT r, i FROM mine JOIN shapes USING (leaf, h) JOIN recur USING (leaf, shape)),
+marked AS (SELECT l.r, l.i, l.line, g.r IS NOT NULL AS gone FROM lines l LEFT JOIN gone g ON g.r = l.r AND g.i = l.i),
+left_ AS (SELECT r, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS text FROM marked GROUP BY r)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_dropped, 0) AS BIGINT) AS n_dropped, CASE WHEN d.text IS NOT NULL THEN x.text END AS text FROM d LEFT JOIN left_ x USING (r)
+"""
