@@ -32,6 +32,11 @@ WORDS, THRESHOLD = 5, 0.8
 TOKENS, RECALL = 128, 0.999
 #: Sets on a path up to which they are compared by brute force; splits at most.
 SMALL, DEPTH = 512, 2
+#: After the last split, sets far from their path's leader beyond which the path is dealt by groups of tokens: WIDE
+#: is where that makes fewer rows than blocks do. Groups, and tokens of each: a pair at the threshold shares none
+#: of the groups with a chance of (1 - 0.8 ** 6) ** 40, about 5 in a million.
+BANDS, BAND_TOKENS = 40, 6
+WIDE = BANDS * SMALL
 #: Sets, and shingles of all of them, that blocks of a part are laid out for; shingles compared at once.
 BLOCK, BLOCK_ITEMS, SLICE_ITEMS = 1024, 400_000, 200_000
 #: Sets of an item up to which its pairs are counted one by one.
@@ -53,6 +58,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _ODD = mix(np.arange(1, TOKENS + 1, dtype=np.uint64) * _GOLD) | np.uint64(1)
 _ADD = mix(np.arange(1001, TOKENS + 1001, dtype=np.uint64) * _GOLD)
+#: The tokens of each group.
+_BANDS = mix(np.arange(1, BANDS * TOKENS + 1, dtype=np.uint64) * _M2).reshape(BANDS, TOKENS).argsort(axis=1)[:, :BAND_TOKENS]
 
 
 def runs_for(recall: float, splits: int = DEPTH) -> int:
@@ -245,30 +252,64 @@ def tiled(rows: DataFrame, key: str, item: str) -> DataFrame:
         "first", F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1))
 
 
+def faced(rows: DataFrame) -> DataFrame:
+    """Each row of (path, block, far, blocks) once for each tile (``gid``) in which its block meets another.
+
+    The first ``far`` blocks meet all others, the rest only these. A block
+    meets itself in every tile it is in; one alone has a tile of its own.
+    """
+    last = F.when(F.col("block") < F.col("far"), F.col("blocks")).otherwise(F.col("far")) - 1
+    rows = rows.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), last), lambda o: (o != F.col("block")) | (F.col("blocks") == 1))))
+    return rows.withColumn("gid", F.xxhash64("path", F.least("block", "other"), F.greatest("block", "other")))
+
+
+def _with_tokens(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(sid, sig, held) of each set in ``rows``; held has the other columns of its rows.
+
+    Tokens are joined once a set, so that the join makes no more rows than
+    there are sets, on however many paths these are.
+    """
+    held = rows.groupBy("sid").agg(F.collect_list(F.struct(*[c for c in rows.columns if c != "sid"])).alias("held"))
+    return held.join(sigs, "sid").select("sid", "sig", "held")
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.StructArray]]:
+    """(sids, tokens, row of each held struct, held structs) of rows of (sid, sig, held), some at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 500):
+            part = batch.slice(i, 500)
+            row = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy())
+            yield part.column(0).to_numpy(), _signed(part.column(1).to_pylist()), row, part.column(2).flatten()
+
+
 def _leader_links(members: DataFrame) -> DataFrame:
-    """(path, sid, a, b, est) of rows of (path, sid, sig, leader, lsig)."""
+    """(path, sid, leader, est) of rows of (sid, sig, held: path, leader, lsig)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            sig, lead = (_signed(batch.column(i).to_pylist()) for i in (2, 4))
-            est = (sig == lead).mean(axis=1) if n else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(est, pa.float64())], names=["path", "sid", "leader", "est"])
+        for sid, sig, row, held in _held(batches):
+            est = (sig[row] == _signed(held.field("lsig").to_pylist())).mean(axis=1)
+            yield pa.RecordBatch.from_arrays([held.field("path"), pa.array(sid[row]), held.field("leader"), pa.array(est, pa.float64())], names=["path", "sid", "leader", "est"])
+
+    return members.mapInArrow(run, "path long, sid long, leader long, est double")
 
-    return members.select("path", "sid", "sig", "leader", "lsig").mapInArrow(run, "path long, sid long, leader long, est double")
 
+def banded(path: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, path below) of the groups of tokens on each row's path; equal groups on a path go down together."""
+    below = mix(path.astype(np.uint64)[:, None] * _GOLD + np.arange(1, BANDS + 1, dtype=np.uint64) * _M2)
+    for at in _BANDS.T:
+        below = mix(below * _GOLD + tokens[:, at])
+    return np.repeat(np.arange(len(path)), BANDS), below.ravel()
 
-def _split(members: DataFrame) -> DataFrame:
-    """(path, sid) one level below rows of (path, sid, sig)."""
+
+def _split(members: DataFrame, below: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(path, sid) one level below rows of (sid, sig, held: path)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = batch.num_rows
-            tokens = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint16).reshape(n, TOKENS).astype(np.uint64)
-            row, below = sampled(batch.column(0).to_numpy().view(np.uint64), tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), pa.array(batch.column(1).to_numpy()[row])], names=["path", "sid"])
+        for sid, sig, row, held in _held(batches):
+            at, path = below(held.field("path").to_numpy().view(np.uint64), sig[row].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(sid[row][at])], names=["path", "sid"])
 
-    return members.select("path", "sid", "sig").mapInArrow(run, "path long, sid long")
+    return members.mapInArrow(run, "path long, sid long")
 
 
 def loose_links(reps: DataFrame) -> DataFrame:
@@ -277,14 +318,17 @@ def loose_links(reps: DataFrame) -> DataFrame:
     ``reps``: (sid, sig, paths), one row a set. On a path of many sets, each
     is compared with the path's leader, its least set; as distances add up at
     most, sets near a leader need no more splits once all sets that could be
-    near them are linked to it too. The rest is split again. What is still
-    together after DEPTH splits is compared by brute force, block against
-    block of the path.
+    near them are linked to it too. Of the rest, sets that are linked to the
+    leader are together already, so only sets far from it are compared with
+    each other and with those. If they are few this is done by brute force,
+    block against block of the path; else the rest is split again. After
+    DEPTH splits it is done by brute force too, but if very many are far, the
+    rest is first dealt by equal groups of tokens.
     """
     found: list[DataFrame] = []
     sigs = reps.select("sid", "sig")
     now = materialize(reps.select(F.explode("paths").alias("path"), "sid"), "paths")
-    for depth in range(DEPTH + 1):
+    for depth in range(DEPTH + 2):
         counted = materialize(now.groupBy("path").agg(F.count("*").alias("n"), F.min("sid").alias("leader")).where("n > 1"), "path-counts")
         if not counted.limit(1).count():
             break
@@ -293,23 +337,29 @@ def loose_links(reps: DataFrame) -> DataFrame:
         sigs = materialize(sigs.join(live.select("sid").distinct(), "sid", "left_semi"), "live-tokens")
         small = live.where(F.col("n") <= SMALL).groupBy("path").agg(F.sort_array(F.collect_set("sid")).alias("sids"))
         small = small.select("sids").where(F.size("sids") > 1).distinct().select(F.xxhash64("sids").alias("gid"), F.explode("sids").alias("sid"))
-        found.append(materialize(_small_links(small.join(sigs, "sid")), "loose"))
+        found.append(materialize(_small_links(_with_tokens(small, sigs).select("sid", "sig", F.explode("held.gid").alias("gid"))), "loose"))
         large = live.where(F.col("n") > SMALL)
         if not large.limit(1).count():
             break
         lead = counted.where(F.col("n") > SMALL).join(sigs.withColumnRenamed("sid", "leader").withColumnRenamed("sig", "lsig"), "leader").select("path", "leader", "lsig")
         lead = maybe_broadcast(materialize(lead, "leaders"), 10_000)
-        told = materialize(_leader_links(large.select("path", "sid").join(lead, "path").join(sigs, "sid")), "led")
-        near = told.where(F.col("est") >= LOOSE)
-        found.append(near.where("sid != leader").select(F.col("sid").alias("a"), F.col("leader").alias("b")))
-        rest = told.where(F.col("est") < DONE).select("path", "sid")
-        if depth < DEPTH:
-            now = materialize(_split(rest.join(sigs, "sid")), "paths")
-            continue
-        sizes = materialize(rest.groupBy("path").agg(F.ceil(F.count("*") / SMALL).cast("int").alias("blocks")), "rest-sizes")
-        blocks = rest.join(maybe_broadcast(sizes), "path").withColumn("block", F.pmod(F.xxhash64("sid", F.lit(11)), F.col("blocks")).cast("int"))
-        tiles = tiled(blocks, "path", "sid").select(F.col("tile").alias("gid"), "sid")
-        found.append(materialize(_small_links(tiles.join(sigs, "sid")), "loose"))
+        told = materialize(_leader_links(_with_tokens(large.select("path", "sid").join(lead, "path"), sigs)), "led")
+        found.append(told.where(F.col("est") >= LOOSE).where("sid != leader").select(F.col("sid").alias("a"), F.col("leader").alias("b")))
+        rest = told.where(F.col("est") < DONE)
+        is_far = F.col("est") < LOOSE
+        # a path without far sets is linked up; others are settled here or split
+        sizes = materialize(rest.groupBy("path").agg(F.count_if(is_far).alias("n_far"), F.count_if(~is_far).alias("n_near")).where("n_far > 0"), "rest-sizes")
+        most = SMALL if depth < DEPTH else WIDE if depth == DEPTH else 2**62
+        settled = sizes.where(F.col("n_far") <= most).select("path", F.ceil(F.col("n_far") / SMALL).cast("int").alias("far"), F.ceil(F.col("n_near") / SMALL).cast("int").alias("near"))
+        if settled.limit(1).count():
+            hashed = F.xxhash64("sid", F.lit(11))
+            blocks = rest.join(maybe_broadcast(settled), "path").withColumn("block", F.when(is_far, F.pmod(hashed, F.col("far"))).otherwise(F.col("far") + F.pmod(hashed, F.greatest("near", F.lit(1)))).cast("int"))
+            blocks = _with_tokens(blocks.select("sid", "path", "block", "far", (F.col("far") + F.col("near")).alias("blocks")), sigs)
+            found.append(materialize(_small_links(faced(blocks.select("sid", "sig", F.inline("held")))), "loose"))
+        deeper = sizes.where(F.col("n_far") > most).select("path")
+        if not deeper.limit(1).count():
+            break
+        now = materialize(_split(_with_tokens(rest.select("path", "sid").join(maybe_broadcast(deeper), "path", "left_semi"), sigs), sampled if depth < DEPTH else banded), "paths")
     out = reps.sparkSession.createDataFrame([], "a long, b long")
     for more in found:
         out = out.unionByName(more)

@@ -201,6 +201,80 @@ def test_recall_of_planted_pairs(spark, monkeypatch):
     assert len(due) > 250 and sum(got[a] == got[b] for a, b in due) >= 0.99 * len(due)
 
 
+def loose_of(spark, monkeypatch, tokens):
+    """(component of each row of ``tokens``, rows compared, rows joined to their tokens) of the loose links of sets on 15 paths that all are on."""
+    import numpy as np
+    from sheetwright.llm.graphs import components
+
+    n = {"compared": 0, "joined": 0}
+
+    def counted(rows, *args, f=near.in_groups):
+        n["compared"] += rows.count()
+        # rows that a join by sid makes, wherever it is
+        plan = rows._jdf.queryExecution().optimizedPlan()
+        todo = [plan]
+        while todo:
+            p = todo.pop()
+            todo += [p.children().apply(i) for i in range(p.children().size())]
+            if p.nodeName() == "Join" and "Inner" in p.simpleString(10) and "sid" in p.simpleString(10):
+                n["joined"] += int(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, p).count())
+        return f(rows, *args)
+
+    with monkeypatch.context() as m:
+        m.setattr(near, "in_groups", counted)
+        rows = [(i, bytearray(t.astype(np.uint16).tobytes()), [int(x) for x in range(1, 16)]) for i, t in enumerate(tokens)]
+        root = {r.node: r.root for r in components(near.loose_links(spark.createDataFrame(rows, "sid long, sig binary, paths array<long>"))).collect()}
+    return [root.get(i, i) for i in range(len(tokens))], n["compared"], n["joined"]
+
+
+def crowd(n, common, far):
+    """Tokens of ``n`` sets that share 70 tokens and of ``far`` sets that share 40 of these; the last of either kind share 98."""
+    import numpy as np
+
+    r = np.random.default_rng(n)
+    tokens = r.integers(1, 2**16, (n + far, near.TOKENS))
+    tokens[:n, :70] = common[:70]
+    tokens[n:, :40] = common[:40]
+    tokens[-1, 30:] = tokens[n - 1, 30:]
+    return tokens
+
+
+def test_rows_of_large_groups(spark, monkeypatch):
+    """Rows that are joined and compared grow with the sets of a group, not with their square; a far set is still met by what is near it."""
+    import numpy as np
+
+    monkeypatch.setattr(near, "SMALL", 16)
+    common = np.random.default_rng(0).integers(1, 2**16, near.TOKENS)
+    made = {}
+    for n in (100, 400):
+        root, compared, joined = loose_of(spark, monkeypatch, crowd(n, common, 8))
+        assert len({*root[:n]}) == 1 and root[-1] == root[0] and len({*root[n:]}) == 8
+        made[n] = compared, joined
+    assert made[400][0] <= 5 * made[100][0] and made[400][1] <= 5 * made[100][1]
+    assert made[400][1] <= 3 * 408
+
+
+def test_many_far_sets(spark, monkeypatch):
+    """Sets far from each other on one path are dealt by groups of tokens, and pairs at the threshold meet."""
+    import numpy as np
+
+    monkeypatch.setattr(near, "SMALL", 16)
+    monkeypatch.setattr(near, "DEPTH", 0)
+    common = np.random.default_rng(0).integers(1, 2**16, near.TOKENS)
+    r = np.random.default_rng(5)
+    tokens = r.integers(1, 2**16, (600, near.TOKENS))
+    tokens[:, :32] = common[:32]
+    for i in range(0, 600, 2):
+        at = r.choice(near.TOKENS, 102, replace=False)
+        tokens[i + 1, at] = tokens[i, at]
+    compared = {}
+    for wide in (10**6, 32):
+        monkeypatch.setattr(near, "WIDE", wide)
+        root, compared[wide], _ = loose_of(spark, monkeypatch, tokens)
+        assert all(root[i] == root[i + 1] for i in range(0, 600, 2)) and len({*root}) == 300
+    assert compared[32] < compared[10**6]
+
+
 def test_shared_items(monkeypatch):
     import numpy as np
 
