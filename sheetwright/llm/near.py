@@ -280,6 +280,7 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             part = batch.slice(i, 500)
             row = np.repeat(np.arange(part.num_rows), part.column(2).value_lengths().to_numpy())
             yield part.column(0).to_numpy(), _signed(part.column(1).to_pylist()), row, part.column(2).flatten()
+    release()
 
 
 def _leader_links(members: DataFrame) -> DataFrame:
